@@ -91,7 +91,7 @@ def _repeat_words(ws: Column) -> Column:
             lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)),
         )
 
-    return _let(ws, of)
+    return _let(F.transform(ws, lambda x: F.xxhash64(x)), of)
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -118,7 +118,11 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, prefix: str = "") ->
     New columns get ``prefix``; where a column of that name is there already, it is replaced.
     """
     m = measures(F.col(text))
-    out = docs.withColumns({f"{prefix}{k}": v for k, v in m.items()})
+    rest = docs.drop(*[f"{prefix}{k}" for k in m])
+    # a generator, unlike a projection, isn't merged with what reads it: each measure is computed once
+    out = docs.select(
+        *[docs[c] for c in rest.columns], F.inline(F.array(F.struct(*[v.alias(f"{prefix}{k}") for k, v in m.items()])))
+    )
     have = {k: F.col(f"{prefix}{k}") for k in m}
     base = F.lit(False)
     for rule in rules:

@@ -23,8 +23,12 @@ def _module(name: str):
     return importlib.import_module(f"runlattice.llm.{MODULES[name]}")
 
 
+def _query(name: str):
+    return lambda spark, sf_dir: getattr(_module(name), name)(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: getattr(_module(name), name) for name in MODULES}
+    return {name: _query(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
