@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runlattice.llm.common import batches, table
 
@@ -106,7 +107,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; only the text is looked at."""
     added = ["lang_pred", "score", "rejected"]
     rest = docs.drop(*added)
-    schema = rest.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType(list(rest.schema)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     at = rest.columns.index("text")
 
     def run(it):
