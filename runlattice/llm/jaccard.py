@@ -258,11 +258,11 @@ def _entries(shared: DataFrame) -> DataFrame:
         for batch in it:
             for g, (key, cls, flag) in zip(batch.column("g").to_pylist(), _arrays(batch)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), g, np.int32)), pa.array(key.view(np.int64)), pa.array(cls), pa.array(flag.astype(np.int32))],
+                    [pa.array(np.full(len(key), g, np.int64)), pa.array(key.view(np.int64)), pa.array(cls), pa.array(flag.astype(np.int32))],
                     ["g", "key", "cls", "flag"],
                 )
 
-    return shared.mapInArrow(run, "g int, key long, cls long, flag int")
+    return shared.mapInArrow(run, "g long, key long, cls long, flag int")
 
 
 def _across(entries: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     dealt = _subset_entries(docs, groups)
     shared = per_group(dealt, [np.uint32, np.uint16, np.int64, np.uint8], _shared, SHARED)
-    shared = materialize(shared.withColumn("g", F.monotonically_increasing_id().cast("int")), "jaccard-shared")
+    shared = materialize(shared.withColumn("g", F.monotonically_increasing_id()), "jaccard-shared")
     live = materialize(_live(_counts(shared), classes), "jaccard-live")
 
     # every live class against the one that it shares most with
