@@ -235,13 +235,14 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_P
     joined = keyed.join(own, "_key", "left").drop("_key", "_host")
     at, hs = joined.columns.index("html"), joined.columns.index("_h")
     keep = [i for i, c in enumerate(joined.columns) if c != "_h"]
+    names = [*(joined.columns[i] for i in keep), "text"]
 
     def run(it):
         for batch in batches(it, 500):
             texts = [
                 extract(page, frozenset(h or ())) for page, h in zip(batch.column(at).to_pylist(), batch.column(hs).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], [*(joined.columns[i] for i in keep), "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], names)
 
     return joined.mapInArrow(run, joined.drop("_h").schema.add("text", "string"))
 

@@ -108,14 +108,14 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     added = ["lang_pred", "score", "rejected"]
     rest = docs.drop(*added)
     schema = StructType(list(rest.schema)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    at = rest.columns.index("text")
+    at, names = rest.columns.index("text"), [*rest.columns, *added]
 
     def run(it):
         judge = Judge(dictionaries)
         for batch in batches(it):
             got = [judge(t) for t in batch.column(at).to_pylist()]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*rest.columns, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
     return rest.mapInArrow(run, schema)
 
