@@ -24,7 +24,7 @@ from runlattice.llm.common import n_words, table
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes to take, and how often a document may be taken.
 BUDGET_PERCENT, ROUNDS = 150, 2
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, rounds: int = ROUNDS) -> DataFrame:
