@@ -331,8 +331,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, t, n_shingles, cls) of every document, (cls, doc_id, t, comp) of every class).
+
+    t is xxhash64 of the text, cls null for documents without a set; doc_id and t of a class are of its first document.
+    """
     docs = docs.select("doc_id", "text")
     groups = max(16, int(text_bytes(docs) * 0.7 / GROUP_BYTES) + 1)
     every = materialize(sets(docs), "jaccard-sets")
@@ -370,14 +373,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = verified(pairs.where(fits & enough).select("a", "b"), reps, docs)
     comps = components(links.unionByName(more), "jaccard-components")
 
-    least = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
-    least = materialize(least.select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")), "jaccard-all")
-    ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(ids, "comp").select("cls", "component_id")
-    out = full.join(named, "cls").select("doc_id", "n_shingles", "component_id")
+    named = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
+    named = named.select("cls", "doc_id", "t", F.coalesce("component", "cls").alias("comp"))
+    return every.select("doc_id", "t", "n_shingles", "cls"), materialize(named, "jaccard-all")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    every, named = classified(docs)
+    ids = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    by_class = named.join(ids, "comp").select("cls", "component_id")
+    out = every.where(F.col("cls").isNotNull()).join(by_class, "cls").select("doc_id", "n_shingles", "component_id")
     alone = every.where(F.col("cls").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, its first by doc_id (null last); documents without a set stay.
+
+    Rows with equal doc_id and text are one document: one of them stays.
+    """
+    every, named = classified(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t"))
+    keys = named.groupBy("comp").agg(first.alias("k")).select("k.doc_id", "k.t")
+    alone = every.where(F.col("cls").isNull()).select("doc_id", "t").distinct()
+    keys = materialize(keys.unionByName(alone), "jaccard-keep")
+    same = (F.col("d._t") == F.col("k.t")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    kept = docs.withColumn("_t", F.xxhash64("text")).alias("d").join(bounded(keys).alias("k"), same).select("d.*")
+    repeated = every.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["_t", "doc_id"]) if repeated else kept).drop("_t")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
