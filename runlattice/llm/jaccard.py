@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, table
+from runlattice.llm.common import batches, bounded, table
 from runlattice.llm.packed import deal, mix64, per_group, schema, text_bytes, unpack
 from runlattice.llm.shingles import Shingler
 from runlattice.operators.graph import components
@@ -37,8 +37,6 @@ from runlattice.operators.graph import components
 #: Up to this band (sizes below 2**band) segments have one-deletion neighbourhoods.
 NEIGHBOUR_BAND = 5
 GROUP_BYTES = 24_000_000
-#: Sides of a join of at most so many rows of a few numbers are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 DELETED, EMPTY, PROBE, LOW = 1, 2, 4, 8
 
 
@@ -296,11 +294,6 @@ def _across(entries: DataFrame) -> DataFrame:
     return entries.groupBy("g").applyInArrow(run, "a long, b long, n long, special long")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: joins then shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are linked, as edges (u, v); ``reps``: (cls, doc_id, t)."""
     pairs = materialize(pairs, "jaccard-pairs")

@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, table
+from runlattice.llm.common import batches, bounded, table
 
 ORDER, BITS = 4, 15
 BEGIN, UNKNOWN, FIRST = 1, 2, 3
 MAX_SYMBOLS = (1 << BITS) - FIRST
 MAX_BROADCAST = 2_000_000
+#: Ids of trusted documents, eight bytes each, that are broadcast; more are joined by a shuffle of both sides.
+BROADCAST_IDS = 1_000_000
 QUANTILE, SLACK, MIN_TRUSTED = 0.995, 1.05, 20
 MASK = (1 << BITS) - 1
 
@@ -202,6 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max
     """``docs`` (doc_id, text, lang, ...) with perplexity, threshold and kept."""
     rest = docs.drop("perplexity", "threshold", "kept")
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q > 0").select("doc_id")
+    good = bounded(materialize(good, "kn-trusted"), BROADCAST_IDS)
     texts = rest.select("doc_id", "text").where(F.length("text") > 0).join(good, "doc_id", "left_semi").select("text")
     ids = symbols(texts)
     model = train(texts, ids)

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, table
-from runlattice.llm.jaccard import bounded
+from runlattice.llm.common import batches, bounded, table
 from runlattice.llm.packed import deal, mix64, schema, text_bytes, unpack
 
 LENGTH, GRAM = 200, 64
