@@ -36,7 +36,7 @@ from runlattice.operators.graph import components
 
 #: Up to this band (sizes below 2**band) segments have one-deletion neighbourhoods.
 NEIGHBOUR_BAND = 5
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 8_000_000
 DELETED, EMPTY, PROBE, LOW = 1, 2, 4, 8
 
 
@@ -161,7 +161,7 @@ def _subset_entries(docs: DataFrame, groups: int) -> DataFrame:
                 flags.append(f)
                 classes.append(np.full(len(k), cls, np.int64))
                 n += len(k)
-            if n > 4_000_000:
+            if n > 1_000_000:
                 yield from flush()
                 keys, classes, flags, n = [], [], [], 0
         yield from flush()
