@@ -28,7 +28,7 @@ from runlattice.llm.packed import deal, mix64, schema, text_bytes, unpack
 
 LENGTH, GRAM = 200, 64
 MAX_REGIONS = 20_000
-GROUP_BYTES = 8_000_000
+GROUP_BYTES, REGION_BYTES = 8_000_000, 2_000_000
 _WINDOW = LENGTH - GRAM + 1
 _P = 0x9E3779B97F4A7C15
 _PI = pow(_P, -1, 1 << 64)
@@ -285,7 +285,7 @@ def _regions(rows: DataFrame, groups: int) -> DataFrame:
                 parts = [view[a : a + b + LENGTH - 1] for a, b in zip(s.tolist(), w.tolist())]
                 held.append((key, np.full(len(key), t, np.int64), s, w, np.concatenate(parts)))
                 n += len(held[-1][4])
-            if n > 32_000_000:
+            if n > 8_000_000:
                 yield from flush()
                 held, n = [], 0
         if held:
@@ -359,7 +359,7 @@ def repeated_spans(docs: DataFrame, max_regions: int = MAX_REGIONS) -> tuple[Dat
         return own.join(want, "t").select("t", "want", "data")
 
     size = found.where("kind = 1").agg(F.coalesce(F.sum(F.col("w") + (LENGTH - 1)), F.lit(0))).first()[0]
-    one = _regions(with_text(1), max(16, int(size / GROUP_BYTES) + 1)).groupBy("g").applyInArrow(_sorted_group, SPANS)
+    one = _regions(with_text(1), max(16, int(size / REGION_BYTES) + 1)).groupBy("g").applyInArrow(_sorted_group, SPANS)
     size = found.where("kind = 2").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     two = _windows(with_text(2), max(16, int(size * 24 / GROUP_BYTES) + 1)).groupBy("g").applyInArrow(_counted_group, SPANS)
     return materialize(whole.unionByName(copies).unionByName(one).unionByName(two), "suffix-spans"), reps
