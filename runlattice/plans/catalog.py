@@ -684,3 +684,74 @@ def dataset_norms(pixels):
 @query("pixels", sql="SELECT cls, y, x FROM (SELECT cls, y, x, row_number() OVER (PARTITION BY cls ORDER BY abs(v - 245), y, x) AS k FROM pixels) t WHERE k <= 5")
 def uncertain_points(pixels):
     return P.uncertain_points(pixels.withColumn("u", F.col("v") - 245), ["cls"], "u", 5).select("cls", "y", "x")
+
+
+# --- round trips, growing, streams
+
+
+@query("runs", sql="SELECT view, class_id, label, s, e FROM runs")
+def tracker_json(runs):
+    from runlattice.sources import trackers
+
+    keys = ["view", "class_id", "label"]
+    rows = trackers.instance_rows(runs, O.run_boxes(runs, keys, WIDTH), keys, ["y1", "x1", "y2", "x2"])
+    documents = trackers.to_documents(rows, ["view", "class_id"], "label", DIVISOR, [1, 1000, WIDTH], "xy")
+    return trackers.from_documents(documents, ["view"]).select("view", "class_id", "label", "s", "e")
+
+
+@query("runs", sql="SELECT idx, label FROM (SELECT p AS idx, label, row_number() OVER (PARTITION BY p ORDER BY view DESC, label DESC) AS k FROM (SELECT unnest(range(s, e)) AS p, label, view FROM runs WHERE y < 400) t) u WHERE k = 1")
+def fill_volume(runs):
+    from runlattice.sources import volumes
+
+    return volumes.fill(runs.where("y < 400"), "label", ["view", "label"])
+
+
+@query("runs", sql=f"SELECT la AS a, lb AS b, round(iou, 9) AS score FROM ({_SCORES}) t WHERE iou > 0.5")
+def rle_match50(runs):
+    edges = _scored(runs).select(F.col("la").alias("a"), F.col("lb").alias("b"), F.col("iou").alias("score"))
+    return match(edges, 0.5).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@query("pixels", sql="SELECT l AS line, y, x FROM (SELECT 0 AS l, unnest(range(0, 11)) AS y, 2*unnest(range(0, 11)) AS x) t WHERE false UNION ALL SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), CAST(floor(i/2.0 + 0.5) AS BIGINT) FROM (SELECT unnest(range(0, 11)) AS i) u WHERE false UNION ALL SELECT CAST(0 AS BIGINT), CAST(i AS BIGINT), CAST(floor(i*5/10.0 + 0.5) AS BIGINT) FROM (SELECT unnest(range(0, 11)) AS i) v")
+def line_pixels(pixels):
+    from runlattice.operators import flood
+
+    lines = pixels.sparkSession.createDataFrame([(0, 0, 0, 10, 5)], "line long, y1 long, x1 long, y2 long, x2 long")
+    return flood.line_pixels(lines)
+
+
+@query("pred_maps")
+def boundary_watershed(maps):
+    from runlattice.operators import flood
+
+    inside = (F.col("gt") > 0).cast("double")
+    edge = ((F.pmod("y", F.lit(8)) == 0) | (F.pmod("x", F.lit(8)) == 0)).cast("double")
+    return flood.boundary_watershed(maps.select("y", "x", inside.alias("sem"), edge.alias("contour")), 0.9, 0.8, 0.85, 32, 32)
+
+
+@query("pixels")
+def split_labels(pixels):
+    from runlattice.operators import flood
+
+    one = pixels.select("y", "x", F.when(F.col("gt") > 0, 1).otherwise(0).cast("long").alias("gt")).where("y < 24")
+    points = pixels.sparkSession.createDataFrame([(1, 9, 1), (17, 25, 2)], "y long, x long, k long")
+    return flood.split_label(one, "gt", 1, points)
+
+
+@query("planes")
+def stream_track(planes):
+    """Planes written one file each, tracked by a stream that reads one file at a time."""
+    from runlattice.functions.storage import materialize, shared_dir  # noqa: F401
+    from runlattice.streaming import planes as stream
+
+    import uuid
+
+    spark = planes.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = planes.select(F.lit(1).cast("long").alias("class_id"), "z", "label", "s", "e")
+    for z in range(1, 8):
+        rows.where(F.col("z") == z).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = stream.track_forward(stream.read_planes(spark, f"{path}/in"))
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select("z", "label", "track")
