@@ -13,8 +13,8 @@ with too many of those can't have a partner and leaves.  An empty segment is wha
 it is only searched by the few sets that can't spare it.
 
 Candidates: first every set against the one it shares most subsets with; components of the verified
-links; then all pairs that share a subset across components (links within a component change nothing)
-and at least as many as the bound says.  All are verified exactly on the texts.
+links; then all pairs that share a subset across components (links within a component change nothing),
+unless bitmaps of token parities show that they differ too much.  All are verified exactly on the texts.
 
 Null or empty text: no set, linked with nothing, component of its own (null doc_id: null).  Equal sets
 are one class and always one component; repeated rows get equal results; an empty table an empty one.
@@ -36,7 +36,7 @@ from runlattice.operators.graph import components
 
 #: Up to this band (sizes below 2**band) segments have one-deletion neighbourhoods.
 NEIGHBOUR_BAND = 5
-GROUP_BYTES = 8_000_000
+GROUP_BYTES, ACROSS_ENTRIES = 8_000_000, 300_000
 DELETED, EMPTY, PROBE, LOW = 1, 2, 4, 8
 
 
@@ -112,7 +112,22 @@ def class_of(h: np.ndarray) -> int:
     return int(mix64(np.array([x & (1 << 64) - 1], np.uint64))[0] >> np.uint64(1))
 
 
-SETS = "doc_id long, t long, n_shingles long, cls long, own int, low int"
+def bitmap(h: np.ndarray) -> bytes:
+    """Parities of a set's tokens in 4 * 2**band places: two sets differ in at least as many tokens as their bitmaps in bits."""
+    width = 4 << len(h).bit_length()
+    odd = np.bincount((mix64(h ^ _STEP) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """A bitmap at a smaller width: parities of its halves."""
+    x = np.frombuffer(bits.ljust(8, b"\0"), np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+SETS = "doc_id long, t long, n_shingles long, cls long, own int, low int, bits binary"
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -126,10 +141,10 @@ def sets(docs: DataFrame) -> DataFrame:
                 h = shingle(text)
                 b = bands(len(h))
                 u = [units(h, x) for x in b] + [0, 0]
-                rows.append((len(h), class_of(h) if len(h) else None, u[0], u[1]))
-            n, cls, own, low = zip(*rows)
+                rows.append((len(h), class_of(h) if len(h) else None, u[0], u[1], bitmap(h) if len(h) >= 4 else b""))
+            n, cls, own, low, bits = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.int32()), pa.array(low, pa.int32())],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.int32()), pa.array(low, pa.int32()), pa.array(bits, pa.binary())],
                 [x.split()[0] for x in SETS.split(", ")],
             )
 
@@ -251,47 +266,92 @@ def _hubs(shared: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _entries(shared: DataFrame) -> DataFrame:
+def _entries(shared: DataFrame, groups: int) -> DataFrame:
     def run(it):
         for batch in it:
-            for g, (key, cls, flag) in zip(batch.column("g").to_pylist(), _arrays(batch)):
+            for key, cls, flag in _arrays(batch):
+                g = (mix64(key) % np.uint64(groups)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), g, np.int64)), pa.array(key.view(np.int64)), pa.array(cls), pa.array(flag.astype(np.int32))],
-                    ["g", "key", "cls", "flag"],
+                    [pa.array(g), pa.array(key.view(np.int64)), pa.array(cls), pa.array(flag.astype(np.int32))], ["g", "key", "cls", "flag"]
                 )
 
-    return shared.mapInArrow(run, "g long, key long, cls long, flag int")
-
-
-def _across(entries: DataFrame) -> DataFrame:
-    """(a, b, n, special): pairs of classes of different components that share n subsets of one key group."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, cls, comp, flag = (table.column(c).to_numpy() for c in ("key", "cls", "comp", "flag"))
-        order = np.lexsort((cls, key))
-        key, cls, comp, flag = key[order], cls[order], comp[order], flag[order]
-        at = _runs(key)
-        out = []
-        if len(key):
-            mixed = np.flatnonzero(np.minimum.reduceat(comp, at[:-1]) != np.maximum.reduceat(comp, at[:-1]))
-            for k in mixed:
-                c, d, f = cls[at[k] : at[k + 1]], comp[at[k] : at[k + 1]], flag[at[k] : at[k + 1]]
-                for i in range(len(c) - 1):  # members against those after them
-                    ok = d[i + 1 :] != d[i]
-                    if f[i] & DELETED:
-                        ok &= (f[i + 1 :] & DELETED) == 0
-                    if f[i] & EMPTY and not f[i] & PROBE:
-                        ok &= (f[i + 1 :] & PROBE) > 0
-                    b = c[i + 1 :][ok]
-                    if len(b):
-                        special = ((f[i] | f[i + 1 :][ok]) & (DELETED | EMPTY)) > 0
-                        out.append(np.stack((np.full(len(b), c[i]), b, special.astype(np.int64)), 1))
-        if not out:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, ["a", "b", "n", "special"])
-        pair, n = np.unique(np.concatenate(out), axis=0, return_counts=True)
-        return pa.Table.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n), pa.array(pair[:, 2])], ["a", "b", "n", "special"])
-
-    return entries.groupBy("g").applyInArrow(run, "a long, b long, n long, special long")
+    return shared.mapInArrow(run, "g int, key long, cls long, flag int")
+
+
+def _pairs_of(at: np.ndarray, size: int, most: int = 200_000):
+    """Places (i, j), i before j, of all pairs within runs of one size that begin at ``at``; some at a time."""
+    i, j = np.triu_indices(size, 1)
+    many = max(1, most // len(i))
+    for a in range(0, len(at), many):
+        start = at[a : a + many, None]
+        x, y = (start + i).ravel(), (start + j).ravel()
+        for b in range(0, len(x), most):
+            yield x[b : b + most], y[b : b + most]
+
+
+def near_pairs(key, cls, comp, flag, n, bits) -> np.ndarray:
+    """(a, b) of classes of different components that share a key and whose bitmaps allow that they are linked.
+
+    ``n`` and ``bits``: size and bitmap of each entry's class.  Bitmaps bound the difference from below, so none is lost.
+    """
+    level = np.array([int(x).bit_length() for x in n], np.int64) - ((flag & LOW) > 0)
+    order = np.lexsort((cls, key, level))
+    key, cls, comp, flag, n, level = key[order], cls[order], comp[order], flag[order], n[order], level[order]
+    bits = [bits[i] for i in order]
+    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (level[1:] != level[:-1]), [True]))) if len(key) else np.zeros(1, np.int64)
+    if len(at) < 2:
+        return np.empty((0, 2), np.int64)
+    straddles = np.minimum.reduceat(comp, at[:-1]) != np.maximum.reduceat(comp, at[:-1])
+    begin, size = at[:-1][straddles], np.diff(at)[straddles]
+    out = []
+    for lv in np.unique(level[begin]):
+        words = max(1, (4 << int(lv)) // 64)
+        here = level[begin] == lv
+        used = np.repeat(begin[here], size[here]) + np.arange(int(size[here].sum())) - np.repeat(np.cumsum(size[here]) - size[here], size[here])
+        u, first = np.unique(cls[used], return_index=True)
+        rows = np.stack([folded(bits[used[i]], words) for i in first])
+        place = np.zeros(len(cls), np.int64)
+        place[used] = np.searchsorted(u, cls[used])
+        for k in np.unique(size[here]):
+            for i, j in _pairs_of(begin[here & (size == k)], int(k)):
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                both = flag[i] & flag[j]
+                ok = (comp[i] != comp[j]) & (4 * large <= 5 * small) & ((both & DELETED) == 0)
+                ok &= ((flag[i] & EMPTY) == 0) | (((flag[i] | flag[j]) & PROBE) > 0)
+                i, j, small = i[ok], j[ok], small[ok]
+                for c in range(0, len(i), max(1, 1_000_000 // words)):
+                    x, y = i[c : c + 1_000_000 // words], j[c : c + 1_000_000 // words]
+                    apart = np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(1, dtype=np.int64)
+                    near = apart <= small[c : c + len(x)] // 4
+                    if near.any():
+                        out.append(np.stack((cls[x[near]], cls[y[near]]), 1))
+            if sum(map(len, out)) > 500_000:
+                out = [np.unique(np.concatenate(out), axis=0)]
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def _across(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): pairs of live classes of different components to verify; ``labels``: (cls, comp, n_shingles, bits)."""
+    own = entries.select("g", "cls").distinct().join(labels, "cls")
+    own = own.select(F.col("g").alias("g2"), F.col("cls").alias("known"), "comp", "n_shingles", "bits")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("known").to_numpy()
+        by = np.argsort(known)
+        cls = left.column("cls").to_numpy()
+        pairs = np.empty((0, 2), np.int64)
+        if len(known):
+            where = by[np.minimum(np.searchsorted(known[by], cls), len(by) - 1)]
+            live = known[where] == cls
+            where = where[live]
+            bits = right.column("bits").to_pylist()
+            pairs = near_pairs(
+                left.column("key").to_numpy()[live], cls[live], right.column("comp").to_numpy()[where], left.column("flag").to_numpy()[live],
+                right.column("n_shingles").to_numpy()[where], [bits[i] for i in where],
+            )
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return entries.groupBy("g").cogroup(own.groupBy("g2")).applyInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -335,15 +395,15 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = every.where(F.col("cls").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "t"))
     classes = full.groupBy("cls").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"), F.first("low").alias("low"), first.alias("_r")
+        F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"), F.first("low").alias("low"), F.first("bits").alias("bits"), first.alias("_r")
     )
-    classes = materialize(classes.select("cls", "n_shingles", "own", "low", "_r.doc_id", "_r.t"), "jaccard-classes")
+    classes = materialize(classes.select("cls", "n_shingles", "own", "low", "bits", "_r.doc_id", "_r.t"), "jaccard-classes")
     reps = classes.select("cls", "doc_id", "t")
 
     dealt = _subset_entries(docs, groups)
     shared = per_group(dealt, [np.uint32, np.uint16, np.int64, np.uint8], _shared, SHARED)
-    shared = materialize(shared.withColumn("g", F.monotonically_increasing_id()), "jaccard-shared")
-    live = materialize(_live(_counts(shared), classes), "jaccard-live")
+    shared = materialize(shared, "jaccard-shared")
+    live = materialize(_live(_counts(shared), classes.drop("bits")), "jaccard-live")
 
     # every live class against the one that it shares most with
     hubs = _hubs(shared).join(live.select(F.col("cls").alias("b")), "b").join(live.select(F.col("cls").alias("a")), "a")
@@ -351,19 +411,12 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialize(verified(best, reps, docs), "jaccard-links")
     comps = components(links, "jaccard-components")
 
-    # then all that share a subset across components
-    label = live.join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-    label = materialize(label, "jaccard-labels")
-    pairs = _across(_entries(shared).join(label, "cls")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("special").alias("special"))
-    x, y = (classes.select(F.col("cls").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("own").alias(f"u{k}"), F.col("low").alias(f"l{k}")) for k in "ab")
-    pairs = pairs.join(x, "a").join(y, "b")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    fits = 4 * large <= 5 * small
-    # of one band: each lacks at most small // 4 of its own subsets; the same in the lower band of the larger
-    same = F.length(F.bin("na")) == F.length(F.bin("nb"))
-    used = F.when(same, F.greatest("ua", "ub")).when(F.col("na") < F.col("nb"), F.greatest("ua", "lb")).otherwise(F.greatest("la", "ub"))
-    enough = (F.col("special") > 0) | (F.length(F.bin(small)) <= NEIGHBOUR_BAND) | (F.col("n") >= used - F.floor(small / 4))
-    more = verified(pairs.where(fits & enough).select("a", "b"), reps, docs)
+    # then all that share a subset across components and may be near enough
+    label = live.select("cls").join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(classes.select("cls", "n_shingles", "bits"), "cls")
+    label = materialize(label.select("cls", F.coalesce("component", "cls").alias("comp"), "n_shingles", "bits"), "jaccard-labels")
+    total = shared.agg(F.coalesce(F.sum(F.octet_length("flag")), F.lit(0))).first()[0]
+    pairs = _across(_entries(shared, max(6, int(total / ACROSS_ENTRIES) + 1)), label)
+    more = verified(pairs, reps, docs)
     comps = components(links.unionByName(more), "jaccard-components")
 
     named = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
