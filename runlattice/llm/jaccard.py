@@ -113,15 +113,15 @@ def class_of(h: np.ndarray) -> int:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of a set's tokens in 4 * 2**band places: two sets differ in at least as many tokens as their bitmaps in bits."""
-    width = 4 << len(h).bit_length()
+    """Parities of a set's tokens in 4 * 2**band places, 64 at least: two sets differ in at least as many tokens as their bitmaps in bits."""
+    width = max(64, 4 << len(h).bit_length())
     odd = np.bincount((mix64(h ^ _STEP) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def folded(bits: bytes, words: int) -> np.ndarray:
     """A bitmap at a smaller width: parities of its halves."""
-    x = np.frombuffer(bits.ljust(8, b"\0"), np.uint64)
+    x = np.frombuffer(bits, np.uint64)
     while len(x) > words:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
