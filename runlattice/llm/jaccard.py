@@ -14,7 +14,8 @@ it is only searched by the few sets that can't spare it.
 
 Candidates: first every set against the one it shares most subsets with; components of the verified
 links; then all pairs that share a subset across components (links within a component change nothing),
-unless bitmaps of token parities show that they differ too much.  All are verified exactly on the texts.
+unless bitmaps of token parities show that they differ too much; of these, first only those that would join
+components, nearest first.  All are verified exactly on the texts.
 
 Null or empty text: no set, linked with nothing, component of its own (null doc_id: null).  Equal sets
 are one class and always one component; repeated rows get equal results; an empty table an empty one.
@@ -37,6 +38,8 @@ from runlattice.operators.graph import components
 #: Up to this band (sizes below 2**band) segments have one-deletion neighbourhoods.
 NEIGHBOUR_BAND = 5
 GROUP_BYTES, ACROSS_ENTRIES = 8_000_000, 300_000
+#: Keys of at least so many sets remember which pairs were compared, while they hold at most so many sets in all.
+BIG_RUN, MEMO_CLASSES = 64, 8_000
 DELETED, EMPTY, PROBE, LOW = 1, 2, 4, 8
 
 
@@ -289,15 +292,36 @@ def _pairs_of(at: np.ndarray, size: int, most: int = 200_000):
             yield x[b : b + most], y[b : b + most]
 
 
-def near_pairs(key, cls, comp, flag, n, bits) -> np.ndarray:
+def forest(pairs: np.ndarray, comp_of: dict[int, int]) -> np.ndarray:
+    """Of pairs (a, b, apart), nearest first, those that join components which no pair before has joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep = []
+    for k in np.argsort(pairs[:, 2], kind="stable").tolist():
+        a, b = root(comp_of[int(pairs[k, 0])]), root(comp_of[int(pairs[k, 1])])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            keep.append(k)
+    return pairs[np.array(keep, np.int64)]
+
+
+def near_pairs(key, cls, comp, flag, n, bits, tree: bool = False) -> np.ndarray:
     """(a, b) of classes of different components that share a key and whose bitmaps allow that they are linked.
 
     ``n`` and ``bits``: size and bitmap of each entry's class.  Bitmaps bound the difference from below, so none is lost.
+    ``tree``: only the nearest pairs that would join all of them.
     """
     level = np.array([int(x).bit_length() for x in n], np.int64) - ((flag & LOW) > 0)
     order = np.lexsort((cls, key, level))
     key, cls, comp, flag, n, level = key[order], cls[order], comp[order], flag[order], n[order], level[order]
     bits = [bits[i] for i in order]
+    comp_of = dict(zip(cls.tolist(), comp.tolist())) if tree else {}
     at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (level[1:] != level[:-1]), [True]))) if len(key) else np.zeros(1, np.int64)
     if len(at) < 2:
         return np.empty((0, 2), np.int64)
@@ -312,25 +336,43 @@ def near_pairs(key, cls, comp, flag, n, bits) -> np.ndarray:
         rows = np.stack([folded(bits[used[i]], words) for i in first])
         place = np.zeros(len(cls), np.int64)
         place[used] = np.searchsorted(u, cls[used])
+        def check(i, j):
+            """Keep the near ones of these pairs; tells which pairs the key may count for at all."""
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            counts = ((flag[i] & flag[j] & DELETED) == 0) & (((flag[i] & EMPTY) == 0) | (((flag[i] | flag[j]) & PROBE) > 0))
+            ok = counts & (comp[i] != comp[j]) & (4 * large <= 5 * small)
+            i, j, small = i[ok], j[ok], small[ok]
+            for c in range(0, len(i), max(1, 1_000_000 // words)):
+                x, y = i[c : c + 1_000_000 // words], j[c : c + 1_000_000 // words]
+                apart = np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(1, dtype=np.int64)
+                near = apart <= small[c : c + len(x)] // 4
+                if near.any():
+                    out.append(np.stack((cls[x[near]], cls[y[near]], apart[near]), 1))
+            return counts
+
+        large_runs = begin[here & (size >= BIG_RUN)], size[here & (size >= BIG_RUN)]
+        held = np.unique(np.concatenate([place[a : a + b] for a, b in zip(*large_runs)])) if len(large_runs[0]) else np.empty(0, np.int64)
+        once = len(held) <= MEMO_CLASSES
+        done = np.zeros((len(held), len(held)), bool) if once else None
         for k in np.unique(size[here]):
-            for i, j in _pairs_of(begin[here & (size == k)], int(k)):
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                both = flag[i] & flag[j]
-                ok = (comp[i] != comp[j]) & (4 * large <= 5 * small) & ((both & DELETED) == 0)
-                ok &= ((flag[i] & EMPTY) == 0) | (((flag[i] | flag[j]) & PROBE) > 0)
-                i, j, small = i[ok], j[ok], small[ok]
-                for c in range(0, len(i), max(1, 1_000_000 // words)):
-                    x, y = i[c : c + 1_000_000 // words], j[c : c + 1_000_000 // words]
-                    apart = np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(1, dtype=np.int64)
-                    near = apart <= small[c : c + len(x)] // 4
-                    if near.any():
-                        out.append(np.stack((cls[x[near]], cls[y[near]]), 1))
-            if sum(map(len, out)) > 500_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-
-def _across(entries: DataFrame, labels: DataFrame) -> DataFrame:
+            starts = begin[here & (size == k)]
+            if k < BIG_RUN or not once:
+                for i, j in _pairs_of(starts, int(k)):
+                    check(i, j)
+                continue
+            for a in starts:  # sets that share many subsets are compared once
+                ids = np.searchsorted(held, place[a : a + k])
+                x, y = np.nonzero(np.triu(~done[np.ix_(ids, ids)], 1))
+                for c in range(0, len(x), 200_000):
+                    p, q = x[c : c + 200_000], y[c : c + 200_000]
+                    counts = check(a + p, a + q)
+                    done[ids[p[counts]], ids[q[counts]]] = True
+        if tree and out:
+            out = [forest(np.concatenate(out), comp_of)]
+    return np.unique(np.concatenate(out)[:, :2], axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def _across(entries: DataFrame, labels: DataFrame, tree: bool) -> DataFrame:
     """(a, b): pairs of live classes of different components to verify; ``labels``: (cls, comp, n_shingles, bits)."""
     own = entries.select("g", "cls").distinct().join(labels, "cls")
     own = own.select(F.col("g").alias("g2"), F.col("cls").alias("known"), "comp", "n_shingles", "bits")
@@ -347,7 +389,7 @@ def _across(entries: DataFrame, labels: DataFrame) -> DataFrame:
             bits = right.column("bits").to_pylist()
             pairs = near_pairs(
                 left.column("key").to_numpy()[live], cls[live], right.column("comp").to_numpy()[where], left.column("flag").to_numpy()[live],
-                right.column("n_shingles").to_numpy()[where], [bits[i] for i in where],
+                right.column("n_shingles").to_numpy()[where], [bits[i] for i in where], tree,
             )
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -411,13 +453,16 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialize(verified(best, reps, docs), "jaccard-links")
     comps = components(links, "jaccard-components")
 
-    # then all that share a subset across components and may be near enough
-    label = live.select("cls").join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(classes.select("cls", "n_shingles", "bits"), "cls")
-    label = materialize(label.select("cls", F.coalesce("component", "cls").alias("comp"), "n_shingles", "bits"), "jaccard-labels")
+    # then what shares a subset across components and may be near enough: first the nearest pairs that would join
+    # them, so that large groups grow together, then all pairs of the components that are left
     total = shared.agg(F.coalesce(F.sum(F.octet_length("flag")), F.lit(0))).first()[0]
-    pairs = _across(_entries(shared, max(6, int(total / ACROSS_ENTRIES) + 1)), label)
-    more = verified(pairs, reps, docs)
-    comps = components(links.unionByName(more), "jaccard-components")
+    groups = max(6, int(total / ACROSS_ENTRIES) + 1)
+    for tree in (True, False):
+        label = live.select("cls").join(comps.withColumnRenamed("id", "cls"), "cls", "left").join(classes.select("cls", "n_shingles", "bits"), "cls")
+        label = materialize(label.select("cls", F.coalesce("component", "cls").alias("comp"), "n_shingles", "bits"), "jaccard-labels")
+        more = verified(_across(_entries(shared, groups), label, tree), reps, docs)
+        links = materialize(links.unionByName(more), "jaccard-links")
+        comps = components(links, "jaccard-components")
 
     named = classes.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
     named = named.select("cls", "doc_id", "t", F.coalesce("component", "cls").alias("comp"))
