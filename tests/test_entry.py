@@ -23,6 +23,10 @@ def test_query_equals_its_oracle(spark, name):
 
 
 def test_joins_have_no_nested_loops(spark):
-    for name in ("rle_iou", "box_iou", "iou_graph_edges"):
-        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    from runlattice.operators import joins
+
+    runs = spark.createDataFrame([(1, 2, 0, 9)], "y long, label long, s long, e long")
+    boxes = spark.createDataFrame([(1, 0, 0, 9, 9)], "id long, y1 long, x1 long, y2 long, x2 long")
+    for df in (joins.scores(runs, runs, ["y"], ["label"], 64), joins.box_overlaps(boxes, boxes, [("y1", "y2"), ("x1", "x2")], 8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
