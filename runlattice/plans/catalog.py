@@ -139,7 +139,7 @@ def rle_encode(pixels):
 
 @query("runs", sql="SELECT view, label, unnest(range(s, e)) AS idx FROM runs WHERE label % 50 = 1")
 def rle_decode(runs):
-    return I.decode(runs.where("label % 50 = 1").select("view", "label", "s", "e"))
+    return I.decode(runs.select("view", "label", "s", "e"))
 
 
 _POSITIONS = "SELECT class_id, y, unnest(range(s, e)) AS p, view FROM runs"
@@ -523,7 +523,7 @@ def crops_at(pixels):
 
 @query("planes", sql="SELECT z, true_id, p AS plane FROM planes, (SELECT unnest(range(0, 8)) AS p) t WHERE true_id % 100 = 1 AND abs(z - p) <= 2")
 def flipbooks(planes):
-    return T.flipbooks(planes.where("true_id % 100 = 1").select("z", "true_id"), 8)
+    return T.flipbooks(planes.select("z", "true_id"), 8)
 
 
 # --- stacks
@@ -541,7 +541,7 @@ def lift_xz(planes):
 
 @query("planes", sql="SELECT true_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT true_id, i, i - row_number() OVER (PARTITION BY true_id ORDER BY i) AS g FROM (SELECT true_id, CAST(floor(p/4160.0) AS BIGINT)*41600 + (p % 4160)*10 + z AS i FROM (SELECT true_id, z, unnest(range(s, e)) AS p FROM planes WHERE true_id % 10 = 1) a) b) c GROUP BY true_id, g")
 def lift_yz(planes):
-    return K.lift_runs(planes.where("true_id % 10 = 1"), ["true_id"], "yz", WIDTH, (1000, WIDTH, 10))
+    return K.lift_runs(planes, ["true_id"], "yz", WIDTH, (1000, WIDTH, 10))
 
 
 @query("planes", sql="SELECT a.z + 1 AS z, a.label AS a, b.label AS b, CAST(least(a.e, b.e) - greatest(a.s, b.s) AS BIGINT) AS inter FROM planes a JOIN planes b ON b.z = a.z + 1 AND a.s < b.e AND b.s < a.e")
