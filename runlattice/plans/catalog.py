@@ -501,9 +501,14 @@ def join_patches(pixels):
     return T.join_patches(T.cut_patches(pixels.select("y", "x", "gt"), 32).drop("y", "x"), 32, 1 << 40, PIXEL_WIDTH).select("y", "x", "gt")
 
 
+def _height(pixels):
+    """Rows of the image; the last one may be partial."""
+    return pixels.agg(F.coalesce(F.max("y") + 1, F.lit(0))).first()[0]
+
+
 @query("pixels", sql="SELECT y, x, gt FROM pixels WHERE y < 7 AND x < 120 UNION ALL SELECT y, x, 0 FROM (SELECT unnest(range(0, 16)) AS y) a, (SELECT unnest(range(0, 128)) AS x) b WHERE y >= 7 OR x >= 120")
 def pad_image(pixels):
-    return T.pad_to(pixels.where("y < 7 AND x < 120"), 7, 120, 16, "gt").select("y", "x", "gt")
+    return T.pad_to(pixels, _height(pixels), PIXEL_WIDTH, 16, "gt").select("y", "x", "gt")
 
 
 @query("pixels", sql="SELECT CAST(floor(y/2.0) AS BIGINT) AS y, CAST(floor(x/2.0) AS BIGINT) AS x, round(avg(v), 9) AS v FROM pixels GROUP BY 1, 2")
@@ -513,12 +518,12 @@ def downscale(pixels):
 
 @query("pixels", sql="SELECT y*2 + a AS y, x*2 + b AS x, gt FROM pixels, (SELECT unnest(range(0, 2)) AS a) i, (SELECT unnest(range(0, 2)) AS b) j WHERE y < 4")
 def upscale(pixels):
-    return T.upscale_nearest(pixels.where("y < 4").select("y", "x", "gt"), 2)
+    return T.upscale_nearest(pixels.select("y", "x", "gt"), 2)
 
 
 @query("pixels", sql="SELECT y, x, least(greatest(y - 16, 0), 36) AS ys, least(greatest(x - 16, 0), 96) AS xs, least(greatest(y - 16, 0), 36) + 32 AS ye, least(greatest(x - 16, 0), 96) + 32 AS xe FROM pixels WHERE v > 480 AND y < 68")
 def crops_at(pixels):
-    return T.crops_at(pixels.where("v > 480 AND y < 68").select("y", "x"), 32, 68, PIXEL_WIDTH).select("y", "x", "ys", "xs", "ye", "xe")
+    return T.crops_at(pixels.where("v > 480").select("y", "x"), 32, _height(pixels), PIXEL_WIDTH).select("y", "x", "ys", "xs", "ye", "xe")
 
 
 @query("planes", sql="SELECT z, true_id, p AS plane FROM planes, (SELECT unnest(range(0, 8)) AS p) t WHERE true_id % 100 = 1 AND abs(z - p) <= 2")
@@ -703,7 +708,7 @@ def tracker_json(runs):
 def fill_volume(runs):
     from runlattice.sources import volumes
 
-    return volumes.fill(runs.where("y < 400"), "label", ["view", "label"])
+    return volumes.fill(runs, "label", ["view", "label"])
 
 
 @query("runs", sql=f"SELECT la AS a, lb AS b, round(iou, 9) AS score FROM ({_SCORES}) t WHERE iou > 0.5")
@@ -733,7 +738,7 @@ def boundary_watershed(maps):
 def split_labels(pixels):
     from runlattice.operators import flood
 
-    one = pixels.select("y", "x", F.when(F.col("gt") > 0, 1).otherwise(0).cast("long").alias("gt")).where("y < 24")
+    one = pixels.select("y", "x", F.when(F.col("gt") > 0, 1).otherwise(0).cast("long").alias("gt"))
     points = pixels.sparkSession.createDataFrame([(1, 9, 1), (17, 25, 2)], "y long, x long, k long")
     return flood.split_label(one, "gt", 1, points)
 
