@@ -1,7 +1,7 @@
 """HTML main-text extraction with removal of site templates.
 
 Element subtrees outside the article are hashed and counted per host in Spark; subtrees that recur
-on many pages of their host are deleted with the page's own boilerplate elements (menus, adverts,
+on many pages of their host (of distinct text: copies of a page count once) are deleted with the page's own boilerplate elements (menus, adverts,
 forms, ...).  What remains of the article is cut into blocks.
 
 An article or main element, where there is one, bounds the text; inside it nothing is deleted for
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from runlattice.functions.storage import materialize
 from runlattice.llm.common import batches, table
 
-#: A subtree is a template when it is on this many pages and this share (percent) of its host's pages.
-MIN_PAGES, MIN_PERCENT = 5, 30
+#: A subtree is a template when it is on this many pages of its host whose texts differ, however many pages the host has.
+MIN_PAGES = 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
@@ -149,28 +149,32 @@ def _roots(elements: list) -> tuple[list[bool], list[bool], bool]:
     return [True] * len(elements), dropped, False
 
 
-def subtrees(text: str | None) -> list[int]:
-    """Distinct hashes of the element subtrees of a page that may be templates."""
+def subtrees(text: str | None) -> tuple[list[int], int]:
+    """Distinct hashes of the element subtrees of a page that may be templates, and the hash of its main text."""
     if not text:
-        return []
-    _, elements = parse(text)
-    inside, _, marked = _roots(elements)
+        return [], 0
+    pieces, elements = parse(text)
+    inside, dropped, marked = _roots(elements)
+    body = _text_hash(_joined(text, pieces, elements, inside, dropped, marked))
     holds = {0}
     if marked:  # what holds the article is no template
         for k in range(len(elements) - 1, 0, -1):
             if inside[k] or k in holds:
                 holds.add(elements[k][1])
-    return sorted(
-        {
-            _hash(text, e)
-            for k, e in enumerate(elements)
-            if e[0] in HASHED and k not in holds and not (marked and inside[k])
-        }
-    )
+    found = {
+        _hash(text, e)
+        for k, e in enumerate(elements)
+        if e[0] in HASHED and k not in holds and not (marked and inside[k])
+    }
+    return sorted(found), body
+
+
+def _text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _hash(text: str, e: list) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(text[e[2] : e[3]].split()).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return _text_hash(" ".join(text[e[2] : e[3]].split()))
 
 
 def extract(text: str | None, templates=frozenset()) -> str:
@@ -179,6 +183,10 @@ def extract(text: str | None, templates=frozenset()) -> str:
         return ""
     pieces, elements = parse(text)
     inside, dropped, marked = _roots(elements)
+    return _joined(text, pieces, elements, inside, dropped, marked, templates)
+
+
+def _joined(text: str, pieces: list, elements: list, inside: list, dropped: list, marked: bool, templates=frozenset()) -> str:
     if templates:
         for k, e in enumerate(elements):
             dropped[k] = dropped[k] or (k > 0 and dropped[e[1]])
@@ -202,35 +210,38 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(_key, _host, h): the subtrees of each distinct page."""
+    """(_key, _host, h, body): the subtrees of each page, body the hash of its main text."""
 
     def run(it):
         for batch in batches(it, 500):
-            keys, hosts, hs = [], [], []
+            keys, hosts, hs, bodies = [], [], [], []
             for key, host, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for h in subtrees(page):
-                    keys.append(key)
-                    hosts.append(host)
-                    hs.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hs, pa.int64())], ["_key", "_host", "h"])
+                found, body = subtrees(page)
+                keys += [key] * len(found)
+                hosts += [host] * len(found)
+                hs += found
+                bodies += [body] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(bodies, pa.int64())],
+                ["_key", "_host", "h", "body"],
+            )
 
-    return pages.select("_key", "_host", "html").mapInArrow(run, "_key long, _host string, h long")
+    return pages.select("_key", "_host", "html").mapInArrow(run, "_key long, _host string, h long, body long")
 
 
-def site_templates(subtree_rows: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_PERCENT) -> DataFrame:
-    """(_host, h) of subtrees on many pages of their host."""
-    per_host = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    counted = subtree_rows.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    often = F.col("_n") * 100 >= F.col("_pages") * percent
-    return counted.join(per_host, "_host").where(often).select("_host", "h")
+def site_templates(subtree_rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(_host, h) of subtrees on many pages of their host whose texts differ."""
+    distinct = subtree_rows.select("_host", "h", "body").distinct()
+    counted = distinct.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") >= min_pages).select("_host", "h")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_PERCENT) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` (url, html, ...) with text."""
     rest = pages.drop("text")
     keyed = with_host(rest)
     rows = materialize(page_subtrees(keyed), "html-subtrees")
-    found = site_templates(rows, keyed.select("_host"), min_pages, percent)
+    found = site_templates(rows, min_pages)
     own = rows.join(found, ["_host", "h"]).groupBy("_key").agg(F.collect_set("h").alias("_h"))  # of one page
     joined = keyed.join(own, "_key", "left").drop("_key", "_host")
     at, hs = joined.columns.index("html"), joined.columns.index("_h")
