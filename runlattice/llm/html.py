@@ -1,12 +1,13 @@
 """HTML main-text extraction with removal of site templates.
 
-Element subtrees outside the article are hashed and counted per host in Spark; subtrees that recur
+Element subtrees are hashed and counted per host in Spark, those inside the article apart; subtrees that recur
 on many pages of their host (of distinct text: copies of a page count once) are deleted with the page's own boilerplate elements (menus, adverts,
 forms, ...).  What remains of the article is cut into blocks.
 
-An article or main element, where there is one, bounds the text; inside it nothing is deleted for
-recurring, so that a paragraph shared by many articles stays.  Pages without one lose templates
-anywhere.  Null html is an empty page; repeated rows give repeated results; null url is a host of
+An article or main element, where there is one, bounds the text.  A subtree inside it is a template only if
+the articles that hold it are unlike: least hashes of their word triples (SIGNS of them) must differ on many
+pages and on at least half of those with differing text, so that what near copies of one article share stays.
+Pages without one lose templates anywhere.  Null html is an empty page; repeated rows give repeated results; null url is a host of
 its own; an empty table gives an empty result; other columns of the caller pass through unchanged.
 """
 
@@ -25,6 +26,8 @@ from runlattice.llm.common import batches, table
 
 #: A subtree is a template when it is on this many pages of its host whose texts differ, however many pages the host has.
 MIN_PAGES = 5
+#: Least hashes of a text, by which near copies are told from other articles.
+SIGNS = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
@@ -149,13 +152,21 @@ def _roots(elements: list) -> tuple[list[bool], list[bool], bool]:
     return [True] * len(elements), dropped, False
 
 
-def subtrees(text: str | None) -> tuple[list[int], int]:
-    """Distinct hashes of the element subtrees of a page that may be templates, and the hash of its main text."""
+def _signs(text: str) -> list[int]:
+    """SIGNS least hashes of the word triples of a text."""
+    words = text.split()
+    triples = {" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 2))}
+    return [min(xxhash.xxh3_64_intdigest(t, k) for t in triples) - (1 << 63) for k in range(SIGNS)]
+
+
+def subtrees(text: str | None) -> tuple[list[int], list[int], int, list[int]]:
+    """Distinct hashes of the element subtrees of a page that may be templates, outside of and inside the article;
+    the hash of its main text and the signs of it."""
     if not text:
-        return [], 0
+        return [], [], 0, []
     pieces, elements = parse(text)
     inside, dropped, marked = _roots(elements)
-    body = _text_hash(_joined(text, pieces, elements, inside, dropped, marked))
+    main = _joined(text, pieces, elements, inside, dropped, marked)
     holds = {0}
     if marked:  # what holds the article is no template
         for k in range(len(elements) - 1, 0, -1):
@@ -166,15 +177,17 @@ def subtrees(text: str | None) -> tuple[list[int], int]:
         for k, e in enumerate(elements)
         if e[0] in HASHED and k not in holds and not (marked and inside[k])
     }
-    return sorted(found), body
+    within = {_hash(text, e, True) for k, e in enumerate(elements) if marked and inside[k] and e[0] in HASHED}
+    return sorted(found), sorted(within), _text_hash(main), _signs(main) if within else []
 
 
 def _text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _hash(text: str, e: list) -> int:
-    return _text_hash(" ".join(text[e[2] : e[3]].split()))
+def _hash(text: str, e: list, within: bool = False) -> int:
+    """Of a subtree; inside of an article and outside it the same text has different hashes."""
+    return _text_hash(" ".join(text[e[2] : e[3]].split()) + "\0" * within)
 
 
 def extract(text: str | None, templates=frozenset()) -> str:
@@ -190,7 +203,7 @@ def _joined(text: str, pieces: list, elements: list, inside: list, dropped: list
     if templates:
         for k, e in enumerate(elements):
             dropped[k] = dropped[k] or (k > 0 and dropped[e[1]])
-            if not dropped[k] and e[0] in HASHED and not (marked and inside[k]) and _hash(text, e) in templates:
+            if not dropped[k] and e[0] in HASHED and _hash(text, e, marked and inside[k]) in templates:
                 dropped[k] = True
     blocks, now = [], []
     for k, piece in pieces:
@@ -210,30 +223,38 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(_key, _host, h, body): the subtrees of each page, body the hash of its main text."""
+    """(_key, _host, h, body, signs): the subtrees of each page, body the hash of its main text; signs inside an article only."""
 
     def run(it):
         for batch in batches(it, 500):
-            keys, hosts, hs, bodies = [], [], [], []
+            keys, hosts, hs, bodies, signs = [], [], [], [], []
             for key, host, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found, body = subtrees(page)
-                keys += [key] * len(found)
-                hosts += [host] * len(found)
-                hs += found
-                bodies += [body] * len(found)
+                found, within, body, sign = subtrees(page)
+                n = len(found) + len(within)
+                keys += [key] * n
+                hosts += [host] * n
+                hs += found + within
+                bodies += [body] * n
+                signs += [None] * len(found) + [sign] * len(within)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(bodies, pa.int64())],
-                ["_key", "_host", "h", "body"],
+                [*(pa.array(c, t) for c, t in ((keys, pa.int64()), (hosts, pa.string()), (hs, pa.int64()), (bodies, pa.int64()), (signs, pa.list_(pa.int64()))))],
+                ["_key", "_host", "h", "body", "signs"],
             )
 
-    return pages.select("_key", "_host", "html").mapInArrow(run, "_key long, _host string, h long, body long")
+    return pages.select("_key", "_host", "html").mapInArrow(run, "_key long, _host string, h long, body long, signs array<long>")
 
 
 def site_templates(subtree_rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, h) of subtrees on many pages of their host whose texts differ."""
+    """(_host, h) of subtrees on many pages of their host whose texts differ; inside articles, whose texts are unlike."""
     distinct = subtree_rows.select("_host", "h", "body").distinct()
     counted = distinct.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.where(F.col("_n") >= min_pages).select("_host", "h")
+    counted = materialize(counted.where(F.col("_n") >= min_pages), "html-counted")
+    within = subtree_rows.where("signs is not null").join(counted, ["_host", "h"])
+    each = within.select("_host", "h", "_n", F.posexplode("signs").alias("_k", "_sign")).distinct()
+    unlike = each.groupBy("_host", "h", "_n", "_k").agg(F.count(F.lit(1)).alias("_u"))
+    unlike = unlike.where((F.col("_u") >= min_pages) & (2 * F.col("_u") >= F.col("_n"))).select("_host", "h").distinct()
+    outside = counted.join(subtree_rows.where("signs is not null").select("_host", "h").distinct(), ["_host", "h"], "left_anti")
+    return outside.select("_host", "h").unionByName(unlike)
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
