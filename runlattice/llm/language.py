@@ -30,7 +30,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 16_384, 112_640
 LEVEL, CHUNK = 5, 4096
 #: Below this share of the second-best size a text is encoded again, at the level that finds most.
 CLOSE_MARGIN, CLOSE_LEVEL = 0.04, 12
-#: Rejected below this share of the second-best size, unless MIN_BYTES apart.
+#: Rejected below this share of the second-best size, and when fewer than MIN_BYTES apart, as very short texts can be.
 MIN_MARGIN, MIN_BYTES = 0.01, 2
 UND = "und"
 
@@ -95,7 +95,7 @@ class Judge:
         name, margin, apart = self._best(_sizes(plain, self.fast))
         if margin < CLOSE_MARGIN:
             name, margin, apart = self._best(_sizes(plain, self.strong))
-        return name, margin, apart == 0 or (margin < MIN_MARGIN and apart < MIN_BYTES)
+        return name, margin, margin < MIN_MARGIN or apart < MIN_BYTES
 
     def _best(self, sizes: list[int]) -> tuple[str, float, int]:
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
