@@ -1,4 +1,4 @@
-"""Shared-folder materialisation: how plans cut their lineage."""
+"""Shared-folder materialisation: how plans cut their lineage, and how what they wrote is taken away again."""
 
 from __future__ import annotations
 
@@ -8,22 +8,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Takes a query's shuffle files away when the query has ended; what it wrote stays.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset, on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "runlattice-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, drop: tuple = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with the same schema.
 
-    The files outlive executors, so whatever follows can be recomputed from them.
+    The files outlive executors, so whatever follows can be recomputed from them.  The shuffle files of
+    the write are taken away when it has ended, and so are the tables ``drop`` (results of ``materialize``), which
+    nothing may read any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    release(*drop)
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialize`` returned and that no plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            df._stored_at = None

@@ -38,7 +38,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = materialize(now, name)
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now)), name)
+        now = materialize(_small_star(_large_star(now)), name, drop=(now,))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
