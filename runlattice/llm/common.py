@@ -41,6 +41,18 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: joins then shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

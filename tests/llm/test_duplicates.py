@@ -102,21 +102,6 @@ def test_keep_one_of_each_group(spark):
     assert jaccard.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_distance_equals_dynamic_programming():
-    r = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(2))
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        assert line_dedup.distance(a, b) == row[-1]
-        long = max(len(a), len(b))
-        assert line_dedup.similar(a, b) == (not long or long - row[-1] >= 0.8 * long - 1e-9)
-
-
 def test_lines_that_repeat_stay_once(spark):
     line = "The quick brown fox jumps over the lazy dog near the river bank today"
     rows = [
@@ -150,7 +135,7 @@ def test_fuzzy_lines_are_found(spark):
         rows.append((2 * i + 1, " ".join(ws)))
     got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] for i in range(0, 120, 2)) == 0
-    assert sum(got[i] for i in range(1, 120, 2)) >= 36
+    assert sum(got[i] for i in range(1, 120, 2)) >= 57
 
 
 def test_suffixes_come_in_order():
