@@ -9,9 +9,10 @@ threshold are retrieved.  A retrieved pair counts when the passage covers the it
 sentences but the last) and its answer (the last one) by shared word sequences.
 
 The index is broadcast in shards of at most ``SHARD_BYTES`` of item text; a larger benchmark takes more
-passes over the corpus, no item is left out.
+passes over the corpus, no item is left out.  Document frequencies and the mean length are those of all items,
+whatever the shards, so scores don't depend on them.
 
-Null or empty texts and items match nothing.  An item id or document that repeats gives a row per
+Null or empty texts and items match nothing; a text may be of any length; items of equal score are all retrieved.  An item id or document that repeats gives a row per
 distinct pair.  Empty tables give empty results; only doc_id/text and item_id/text are read, so other
 columns can't clash.
 """
@@ -72,21 +73,38 @@ def coverage(part: list[bytes], seen: dict[int, set]) -> float:
     return covered / len(part)
 
 
+class Statistics:
+    """Number, summed length and document frequencies of items."""
+
+    def __init__(self):
+        self.n, self.words, self.df = 0, 0, Counter()
+
+    def add(self, items: list[tuple[int, str]]) -> Statistics:
+        for _, text in items:
+            if ws := terms(text):
+                self.n += 1
+                self.words += len(ws)
+                self.df.update(set(ws))
+        return self
+
+
 class Index:
-    """BM25 impacts of the items of one shard, normalised, as postings with block maxima."""
+    """BM25 impacts of the items of one shard, normalised, as postings with block maxima.
+
+    ``every``: statistics of all items; those of the shard if there is but one.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], every: Statistics | None = None):
         self.items = sorted((i, t) for i, t in items if terms(t))
         words = [terms(t) for _, t in self.items]
         self.parts = [parts(t) for _, t in self.items]
         self.longest = max(map(len, words), default=0)
-        n = len(words)
-        mean = sum(map(len, words)) / max(1, n)
-        df = Counter(w for ws in words for w in set(ws))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
+        every = every or Statistics().add(self.items)
+        n, mean, df = every.n, every.words / max(1, every.n), every.df
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         essential: list[tuple[int, int, float]] = []
-        self.need = np.zeros(n)
+        self.need = np.zeros(len(words))
         for item, ws in enumerate(words):
             raw = {}
             for w, tf in Counter(ws).items():
@@ -216,8 +234,9 @@ class Matcher:
         follows = (nxt < len(key)) & (key[np.minimum(nxt, len(key) - 1)] == key + len(ix.items))
         both = total + np.where(follows, total[np.minimum(nxt, len(key) - 1)], 0.0)
         hit = both >= ix.need[item] - 1e-9
-        # the next block alone: the passage that begins one block earlier has it, too
-        return np.unique(block[hit])
+        # the passage that begins one block earlier has this block, too, whatever else it holds
+        alone = block[total >= ix.need[item] - 1e-9] - 1
+        return np.unique(np.concatenate((block[hit], alone[alone >= 0])))
 
     def match(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float, int]]:
         """(text number, item number, score, question share, answer share, passages)."""
@@ -236,6 +255,7 @@ class Matcher:
         found = self.candidates(np.concatenate(flat), np.concatenate(starts))
         firsts = np.array(sorted(owner))
         best: dict[tuple[int, int], list] = {}
+        split, whole = -1, []
         for block in found.tolist():
             first = int(firsts[np.searchsorted(firsts, block, "right") - 1])
             k = owner[first]
@@ -245,7 +265,9 @@ class Matcher:
             if not hits:
                 continue
             # what an edge cuts off may lie a block before or after
-            ws = lower_words(texts[k])[max(0, a - self.stride) : a + 3 * self.stride]
+            if split != k:
+                split, whole = k, lower_words(texts[k])
+            ws = whole[max(0, a - self.stride) : a + 3 * self.stride]
             passage = [w for w in (x.strip(STRIP) for x in ws) if w]
             seen = {n: {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} for n in range(1, 6) if n in (1, 2, 3, 5)}
             for item, score in hits:
@@ -272,8 +294,11 @@ def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES):
 def contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for every pair of a document and a test item that it holds."""
     out = None
+    every = Statistics()
+    for shard in shards(items, shard_bytes):
+        every.add(shard)
     for shard in shards(items, shard_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(shard))
+        index = docs.sparkSession.sparkContext.broadcast(Index(shard, every))
 
         def run(it, index=index):
             matcher = Matcher(index.value)
