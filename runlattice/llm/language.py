@@ -5,8 +5,9 @@ with only its letters and white space left, is encoded with every dictionary, in
 text doesn't become its own dictionary, and gets the language with the smallest sum of sizes.  Close
 calls are encoded once more at a higher level; margins that stay narrow are rejected.
 
-Training takes at most ``SAMPLE_DOCS`` texts of at most ``SAMPLE_BYTES`` bytes per language, first
-in the order of a hash of doc_id, whole, until ``DICTIONARY_BYTES`` are reached: a documented bound.
+Training takes at most ``SAMPLE_DOCS`` texts per language, first in the order of a hash of doc_id, of each its first
+``SAMPLE_CHARS`` characters, until ``DICTIONARY_BYTES`` are reached: documented bounds of the sample.  Texts that
+are judged are judged whole.
 
 Null text, and text without a letter, is ``und`` with score 0 and rejected; so is all text where
 nothing can be learned.  Ties go to the language first in code-point order.  Rows that repeat are
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from runlattice.llm.common import batches, table
 
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 16_384, 112_640
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 16_384, 112_640
 LEVEL, CHUNK = 5, 4096
 #: Below this share of the second-best size a text is encoded again, at the level that finds most.
 CLOSE_MARGIN, CLOSE_LEVEL = 0.04, 12
@@ -38,7 +39,7 @@ UND = "und"
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary content, from rows of (doc_id, text, lang)."""
     size = F.octet_length("text")
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0) & (size <= SAMPLE_BYTES))
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0))
     key = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.xxhash64("text")]
     narrow = fit.select("lang", "doc_id", *[k.alias(f"_k{i}") for i, k in enumerate(key)])
     first = narrow.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_k0", "doc_id", "_k2")))
@@ -47,7 +48,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
         F.broadcast(first), ["lang", "doc_id", "_k2"]  # SAMPLE_DOCS rows for each language at most
     )
     out: dict[str, list[str]] = {}
-    rows = picked.groupBy("lang", "_n").agg(F.first("text").alias("text")).collect()
+    rows = picked.groupBy("lang", "_n").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).collect()
     for row in sorted(rows, key=lambda r: (r.lang, r._n)):
         have = out.setdefault(row.lang, [])
         if sum(map(len, have)) < DICTIONARY_BYTES:
@@ -103,11 +104,15 @@ class Judge:
         return self.names[order[0]], (second - best) / second, second - best
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected; only the text is looked at."""
-    added = ["lang_pred", "score", "rejected"]
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, or what ``added`` calls them; only the text is looked at."""
     rest = docs.drop(*added)
-    schema = StructType(list(rest.schema)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType(list(rest.schema))
+    for name, kind in zip(added, ("string", "double", "boolean")):
+        schema = schema.add(name, kind)
     at, names = rest.columns.index("text"), [*rest.columns, *added]
 
     def run(it):
