@@ -5,7 +5,7 @@ the (blob, rule version) pairs that were scanned; only blobs without their pair
 once however many paths and versions share it, and findings are joined back to all paths.
 
 Null text counts as empty (one blob, no findings); repeated rows share a blob; an empty table gives
-empty results; columns of the caller that clash with ours are left out of the join, never renamed.
+empty results; columns of the caller that clash with ours are replaced by ours.  A text may be of any length.
 Whole texts are scanned; spans count code points, end exclusive.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlattice.functions.storage import materialize
 from runlattice.llm.common import batches, table
 
 #: Base rules: kind, pattern, group whose length counts, least length.
@@ -33,7 +34,8 @@ MORE = (
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 1),
 )
 RULES = BASE + MORE
-RULE_VERSION = "base-3+3"
+#: Follows from the rules, so that an edited rule is another version.
+RULE_VERSION = hashlib.sha256("\n".join(f"{name} {p.pattern} {p.flags} {g} {n}" for name, p, g, n in RULES).encode()).hexdigest()[:16]
 N_BASE = len(BASE)
 
 
@@ -92,10 +94,29 @@ def scan_unseen(
     return blobs.select("blob", "text").mapInArrow(_scan, FINDINGS).withColumn("rule_version", F.lit(rule_version))
 
 
+def seen_by(findings: DataFrame) -> DataFrame:
+    """The rows (blob, rule_version) that findings add to a ledger."""
+    return findings.select("blob", "rule_version").distinct()
+
+
+def scan_incrementally(versions: DataFrame, ledger_path: str, text: str = "text") -> DataFrame:
+    """Findings of the blobs that the ledger at ``ledger_path`` (Parquet in a shared folder) doesn't have; it has them afterwards.
+
+    The folder keeps the findings themselves, so those of earlier runs are found there.  A run that fails before the
+    append has ended leaves the ledger as it was; its blobs are scanned again.
+    """
+    spark = versions.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    known = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    found = materialize(scan_unseen(versions, spark.read.parquet(ledger_path) if known else None, text=text), "secrets-new")
+    found.write.mode("append").parquet(ledger_path)
+    return found
+
+
 def join_back(paths: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings for every row of ``paths`` (which has ``blob``)."""
-    clash = [c for c in findings.columns if c in paths.columns and c != "blob"]
-    return paths.join(findings.drop(*clash), "blob", "left")
+    ours = {c.lower() for c in findings.columns} - {"blob"}
+    return paths.drop(*[c for c in paths.columns if c.lower() in ours]).join(findings, "blob", "left")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
