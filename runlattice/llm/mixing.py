@@ -19,12 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import n_words, table
+from runlattice.llm.common import free, n_words, table
 
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes to take, and how often a document may be taken.
 BUDGET_PERCENT, ROUNDS = 150, 2
 SLICE_ROWS = 2_000
+#: Slices whose offsets one task sums up.
+BLOCK_SLICES = 4_096
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -65,10 +67,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, ro
 
 def _running(df: DataFrame, keys: list[str], slice_col: str, order: list, value: str, out: str) -> DataFrame:
     """``out``: the running sum of ``value`` within ``keys`` in the order of (slice_col, order), peers included."""
-    per = df.groupBy(*keys, slice_col).agg(F.sum(value).alias("_s"))
+    # offsets in two levels: a task holds the slices of one block, and one row a block
+    block = F.floor(F.col(slice_col) / BLOCK_SLICES).alias("_block")
+    per = df.groupBy(*keys, slice_col).agg(F.sum(value).alias("_s")).select("*", block)
+    blocks = per.groupBy(*keys, "_block").agg(F.sum("_s").alias("_b"))
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = by.orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per.select(*keys, slice_col, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    rows = by.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_b").over(rows), F.lit(0)).alias("_upto"))
+    rows = W.partitionBy(*keys, "_block").orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
+    inner = per.select(*keys, slice_col, "_block", F.coalesce(F.sum("_s").over(rows), F.lit(0)).alias("_in"))
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_block"]]
+    offsets = inner.alias("l").join(blocks.alias("r"), cond)
+    offsets = offsets.select(*[F.col(f"l.{k}") for k in [*keys, slice_col]], (F.col("l._in") + F.col("r._upto")).alias("_before"))
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, slice_col]]
     joined = df.alias("l").join(offsets.alias("r"), cond).select("l.*", "r._before")
     inside = W.partitionBy(*keys, slice_col).orderBy(*order)
@@ -107,7 +117,10 @@ def schedule(
     turns = F.filter(F.array(*[finish(r) for r in range(rounds)]), lambda x: x.isNotNull())
     line = cum.where(F.col("size") > 0).select("size", F.explode(turns).alias("_finish"))
     # the global order by finish time: ranges of it are summed first, then the rows within a range
-    line = line.withColumn("_slice", F.floor(F.least(F.col("_finish"), F.lit(4.0)) * F.lit(float(slices * 8))))
+    # the cut lies near 1; a source much larger than its target goes on far beyond, in slices that get wider
+    even = F.least(F.col("_finish"), F.lit(4.0)) * F.lit(float(slices * 8))
+    wide = F.log2(F.greatest(F.col("_finish"), F.lit(4.0)) / F.lit(4.0)) * F.lit(float(slices * 8))
+    line = line.withColumn("_slice", F.floor(even) + F.floor(wide))
     upto = _running(line, [], "_slice", ["_finish"], "size", "_upto")
     budget = sized.agg((F.coalesce(F.sum("size"), F.lit(0)) * F.lit(percent).cast("long")).alias("_budget"))
     fits = F.col("_upto") * F.lit(100).cast("long") <= F.col("_budget")
@@ -124,11 +137,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     rows = docs.drop(*added)
     key = ["doc_id", "source", "_x"]
     # rows that agree in all of the key are interchangeable; a number tells them apart
-    numbered = lambda df: df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
-    plan = numbered(schedule(rows, **how))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*key, "_n"]]
-    full = numbered(rows.withColumn("_x", F.xxhash64("text"))).alias("l").join(plan.alias("r"), on)
-    return full.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in added])
+    plan = schedule(rows, **how).withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+    x, n = free(rows, "x", "n")
+    full = rows.withColumn(x, F.xxhash64("text"))
+    full = full.withColumn(n, F.row_number().over(W.partitionBy("doc_id", "source", x).orderBy(F.lit(0))))
+    on = [F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), (x, "_x"), (n, "_n"))]
+    full = full.alias("l").join(plan.alias("r"), on)
+    return full.select(*[F.col(f"l.`{c}`") for c in rows.columns], *[F.col(f"r.{c}") for c in added])
 
 
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +152,8 @@ def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
    md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 r1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
