@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, table
+from runlattice.llm.common import batches, free, table
 
 #: A subtree is a template when it is on this many pages of its host whose texts differ, however many pages the host has.
 MIN_PAGES = 5
@@ -33,7 +33,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
     re.S,
 )
-ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTR = re.compile(r"""(?<![\w.:-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROP = {
@@ -124,6 +124,7 @@ def parse(text: str) -> tuple[list, list]:
             pieces.append((stack[-1], None))
         parent = stack[-1]
         drop = tag in DROP or (tag not in ("html", "body", "article", "main") and bool(attrs) and _marked(tag, attrs))
+        drop = drop or (tag == "header" and not any(elements[k][0] in ("article", "main") for k in stack))
         drop = drop or (tag == "article" and bool(attrs) and bool(re.search(r"\b(comment|reply)", attrs, re.I)))
         elements.append([tag, parent, m.start(), n, drop])
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
@@ -143,13 +144,17 @@ def _roots(elements: list) -> tuple[list[bool], list[bool], bool]:
     dropped = [False] * len(elements)
     for k, e in enumerate(elements):
         dropped[k] = e[4] or (k > 0 and dropped[e[1]])
+    found = []
     for wanted in ("article", "main"):
         inside = [False] * len(elements)
         for k, e in enumerate(elements):
             inside[k] = not dropped[k] and (e[0] == wanted or k > 0 and inside[e[1]])
         if any(inside):
-            return inside, dropped, True
-    return [True] * len(elements), dropped, False
+            found.append((sum(e[3] - e[2] for k, e in enumerate(elements) if inside[k] and (k == 0 or not inside[e[1]])), inside))
+    if not found:
+        return [True] * len(elements), dropped, False
+    # articles that are less than half of a main are teasers within it
+    return (found[1] if len(found) == 2 and 2 * found[0][0] < found[1][0] else found[0])[1], dropped, True
 
 
 def _signs(text: str) -> list[int]:
@@ -217,9 +222,9 @@ def _joined(text: str, pieces: list, elements: list, inside: list, dropped: list
     return " ".join(b for b in blocks if b)
 
 
-def with_host(pages: DataFrame) -> DataFrame:
+def with_host(pages: DataFrame, host_name: str = "_host", key: str = "_key") -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    return pages.withColumns({"_host": host, "_key": F.xxhash64("url", "html")})
+    return pages.withColumns({host_name: host, key: F.xxhash64("url", "html")})
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
@@ -260,13 +265,14 @@ def site_templates(subtree_rows: DataFrame, min_pages: int = MIN_PAGES) -> DataF
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` (url, html, ...) with text."""
     rest = pages.drop("text")
-    keyed = with_host(rest)
-    rows = materialize(page_subtrees(keyed), "html-subtrees")
+    key, host, h = free(rest, "key", "host", "h")
+    keyed = with_host(rest, host, key)
+    rows = materialize(page_subtrees(keyed.select(F.col(key).alias("_key"), F.col(host).alias("_host"), "html")), "html-subtrees")
     found = site_templates(rows, min_pages)
-    own = rows.join(found, ["_host", "h"]).groupBy("_key").agg(F.collect_set("h").alias("_h"))  # of one page
-    joined = keyed.join(own, "_key", "left").drop("_key", "_host")
-    at, hs = joined.columns.index("html"), joined.columns.index("_h")
-    keep = [i for i, c in enumerate(joined.columns) if c != "_h"]
+    own = rows.join(found, ["_host", "h"]).groupBy("_key").agg(F.collect_set("h").alias(h))  # of one page
+    joined = keyed.join(own.withColumnRenamed("_key", key), key, "left").drop(key, host)
+    at, hs = joined.columns.index("html"), joined.columns.index(h)
+    keep = [i for i, c in enumerate(joined.columns) if c != h]
     names = [*(joined.columns[i] for i in keep), "text"]
 
     def run(it):
@@ -276,7 +282,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], names)
 
-    return joined.mapInArrow(run, joined.drop("_h").schema.add("text", "string"))
+    return joined.mapInArrow(run, joined.drop(h).schema.add("text", "string"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
