@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, bounded, table
+from runlattice.llm.common import batches, bounded, free, table
 from runlattice.llm.packed import deal, mix64, per_group, schema, text_bytes, unpack
 from runlattice.llm.shingles import Shingler
 from runlattice.operators.graph import components
@@ -283,6 +283,13 @@ def _entries(shared: DataFrame, groups: int) -> DataFrame:
 
 def _pairs_of(at: np.ndarray, size: int, most: int = 200_000):
     """Places (i, j), i before j, of all pairs within runs of one size that begin at ``at``; some at a time."""
+    if size * size > 2 * most:  # row by row
+        rows = max(1, most // size)
+        for start in at:
+            for a in range(0, size - 1, rows):
+                i, j = np.nonzero(np.arange(a, min(a + rows, size))[:, None] < np.arange(size))
+                yield start + a + i, start + j
+        return
     i, j = np.triu_indices(size, 1)
     many = max(1, most // len(i))
     for a in range(0, len(at), many):
@@ -362,9 +369,9 @@ def near_pairs(key, cls, comp, flag, n, bits, tree: bool = False) -> np.ndarray:
                 continue
             for a in starts:  # sets that share many subsets are compared once
                 ids = np.searchsorted(held, place[a : a + k])
-                x, y = np.nonzero(np.triu(~done[np.ix_(ids, ids)], 1))
-                for c in range(0, len(x), 200_000):
-                    p, q = x[c : c + 200_000], y[c : c + 200_000]
+                for p, q in _pairs_of(np.zeros(1, np.int64), int(k)):
+                    left = ~done[ids[p], ids[q]]
+                    p, q = p[left], q[left]
                     counts = check(a + p, a + q)
                     done[ids[p[counts]], ids[q[counts]]] = True
         if tree and out:
@@ -489,10 +496,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = named.groupBy("comp").agg(first.alias("k")).select("k.doc_id", "k.t")
     alone = every.where(F.col("cls").isNull()).select("doc_id", "t").distinct()
     keys = materialize(keys.unionByName(alone), "jaccard-keep")
-    same = (F.col("d._t") == F.col("k.t")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    kept = docs.withColumn("_t", F.xxhash64("text")).alias("d").join(bounded(keys).alias("k"), same).select("d.*")
+    (t,) = free(docs, "t")
+    same = (F.col(f"d.{t}") == F.col("k.t")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    kept = docs.withColumn(t, F.xxhash64("text")).alias("d").join(bounded(keys).alias("k"), same).select("d.*")
     repeated = every.groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["_t", "doc_id"]) if repeated else kept).drop("_t")
+    return (kept.dropDuplicates([t, "doc_id"]) if repeated else kept).drop(t)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
