@@ -136,12 +136,16 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     added = ["size", "source_size", "target", "taken"]
     rows = docs.drop(*added)
     key = ["doc_id", "source", "_x"]
-    # rows that agree in all of the key are interchangeable; a number tells them apart
-    plan = schedule(rows, **how).withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+    plan = materialize(schedule(rows, **how), "mix-plan")
     x, n = free(rows, "x", "n")
     full = rows.withColumn(x, F.xxhash64("text"))
-    full = full.withColumn(n, F.row_number().over(W.partitionBy("doc_id", "source", x).orderBy(F.lit(0))))
-    on = [F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), (x, "_x"), (n, "_n"))]
+    on = [("doc_id", "doc_id"), ("source", "source"), (x, "_x")]
+    if plan.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        # rows that agree in all of the key are interchangeable; a number tells them apart
+        plan = plan.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+        full = full.withColumn(n, F.row_number().over(W.partitionBy("doc_id", "source", x).orderBy(F.lit(0))))
+        on.append((n, "_n"))
+    on = [F.col(f"l.`{a}`").eqNullSafe(F.col(f"r.{b}")) for a, b in on]
     full = full.alias("l").join(plan.alias("r"), on)
     return full.select(*[F.col(f"l.`{c}`") for c in rows.columns], *[F.col(f"r.{c}") for c in added])
 
