@@ -51,6 +51,29 @@ def vote(runs: DataFrame, keys: list[str], least: int) -> DataFrame:
     return union(level.select(*keys, F.col("p").alias("s"), "e"), keys)
 
 
+def votes(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, e, votes): the stretches that equally many intervals of a key cover, one at least; neighbours differ in votes."""
+    ends = runs.where("e > s").select(*keys, F.col("s").alias("p"), F.lit(1).alias("d"))
+    ends = ends.unionByName(runs.where("e > s").select(*keys, F.col("e").alias("p"), F.lit(-1).alias("d")))
+    steps = ends.groupBy(*keys, "p").agg(F.sum("d").alias("d")).where("d <> 0")
+    order = _by(keys).orderBy("p")
+    level = steps.withColumn("votes", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return level.select(*keys, F.col("p").alias("s"), F.lead("p").over(order).alias("e"), "votes").where("votes > 0")
+
+
+def split_by_votes(stretches: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The intervals that stay of ``votes``' stretches when places with fewer than ``least`` votes go."""
+    return union(stretches.where(F.col("votes") >= least).select(*keys, "s", "e"), keys)
+
+
+def concat_sort(tables: list[DataFrame], keys: list[str], then: list[str]) -> DataFrame:
+    """The intervals of all tables, numbered from 0 within a key by start, end and the columns ``then``."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.withColumn("place", (F.row_number().over(_by(keys).orderBy("s", "e", *then)) - 1).cast("long"))
+
+
 def invert(runs: DataFrame, keys: list[str], size: Column | int) -> DataFrame:
     """What the intervals of each key leave of [0, size); keys without rows have no complement."""
     size = size if isinstance(size, Column) else F.lit(size).cast("long")

@@ -77,3 +77,16 @@ def best_match(edges: DataFrame, of: list[str], score: str, tie: list[str]) -> D
     rest = [c for c in edges.columns if c not in of]
     order = F.struct((-F.col(score)).alias("_s"), *[F.col(t).alias(f"_{t}") for t in tie], F.struct(*rest).alias("_row"))
     return edges.groupBy(*of).agg(F.min(order).alias("_m")).select(*of, "_m._row.*")
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame:
+    """The pairs of a point (y, x, ...) and a box (y1, x1, y2, x2, ...; ends excluded) that holds it.
+
+    A box enters the cells of the grid that it touches, so a point meets the boxes of its cell in one equality join.
+    """
+    spread = boxes
+    for c, a, b in (("_cy", "y1", "y2"), ("_cx", "x1", "x2")):
+        spread = spread.withColumn(c, F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell))))
+    own = points.withColumn("_cy", F.floor(F.col("y") / cell)).withColumn("_cx", F.floor(F.col("x") / cell))
+    inside = (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")) & (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2"))
+    return own.join(spread, ["_cy", "_cx"]).where(inside).drop("_cy", "_cx")

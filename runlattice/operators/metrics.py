@@ -126,3 +126,12 @@ def masked_l1(rows: DataFrame, pairs: list[tuple[str, str]], weight: str) -> Dat
     diff = sum((F.abs(F.col(a) - F.col(b)) for a, b in pairs), F.lit(0.0))
     s = rows.agg(F.sum(diff * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
     return s.select(F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(0.0).alias("loss"))
+
+
+def object_overlaps(pixels: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, iou, dice, ioa) of every pair of objects that share a pixel; ioa: of the object of ``a``."""
+    n = pixels.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
+    area = lambda c, name: n.groupBy(c).agg(F.sum("_n").alias(name))
+    both = n.where((F.col(a) > 0) & (F.col(b) > 0)).join(area(a, "_a"), a).join(area(b, "_b"), b)
+    share, total = F.col("_n").cast("double"), F.col("_a") + F.col("_b")
+    return both.select(a, b, (share / (total - F.col("_n"))).alias("iou"), (2.0 * share / total).alias("dice"), (share / F.col("_a")).alias("ioa"))

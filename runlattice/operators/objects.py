@@ -128,3 +128,15 @@ def relabel(runs: DataFrame, keys: list[str], label: str) -> DataFrame:
     first = runs.groupBy(*keys, label).agg(F.min("s").alias("_first"))
     ranks = global_rank(first, ["_first", label], keys, "new_label").drop("_first")
     return runs.join(ranks, [*keys, label])
+
+
+def areas_report(runs: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, label, area, place): objects by area, the largest first, ties to the lower label."""
+    area = runs.groupBy(*keys, label).agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("area"))
+    return area.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("area").desc(), label)).cast("long"))
+
+
+def first_places(runs: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """(keys, place): where each object begins, the least of the columns ``place``."""
+    first = runs.groupBy(*keys).agg(F.min(F.struct(*place)).alias("_p"))
+    return first.select(*keys, *[F.col(f"_p.{c}").alias(c) for c in place])

@@ -136,14 +136,25 @@ def center_offsets(pixels: DataFrame, label: str) -> DataFrame:
 
 
 def heatmap(pixels: DataFrame, label: str, sigma: float = 6.0, reach: float = 4.0) -> DataFrame:
-    """(y, x, heat): Gaussians around the centroids, each 1 at its top; the largest one counts."""
+    """(y, x, heat): the sum of Gaussians around the centroids' pixels, 1 at its top; objects with one centre pixel count once."""
     r = int(reach * sigma + 0.5)
-    mid = pixels.where(F.col(label) > 0).groupBy(F.col(label).alias("label")).agg(F.round(F.avg("y")).cast("long").alias("cy"), F.round(F.avg("x")).cast("long").alias("cx"))
+    mid = pixels.where(F.col(label) > 0).groupBy(F.col(label).alias("label")).agg(F.floor(F.avg("y")).alias("cy"), F.floor(F.avg("x")).alias("cx")).select("cy", "cx").distinct()
     span = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
     spots = mid.withColumn("y", span("cy")).withColumn("x", span("cx"))
     far = (F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2
-    heat = spots.groupBy("y", "x").agg(F.max(F.exp(-far / (2 * sigma * sigma))).alias("heat"))
-    return pixels.select("y", "x").join(heat, ["y", "x"], "left").withColumn("heat", F.coalesce("heat", F.lit(0.0)))
+    heat = spots.groupBy("y", "x").agg(F.sum(F.exp(-far / (2 * sigma * sigma))).alias("heat"))
+    out = pixels.select("y", "x").join(heat, ["y", "x"], "left").withColumn("heat", F.coalesce("heat", F.lit(0.0)))
+    top = out.agg(F.max("heat").alias("_top"))  # one row
+    return out.join(F.broadcast(top)).select("y", "x", F.when(F.col("_top") > 0, F.col("heat") / F.col("_top")).otherwise(0.0).alias("heat"))
+
+
+def crop_and_binarize(pixels: DataFrame, label: str) -> DataFrame:
+    """(label, y, x, inside): the enclosing box of every label, cut out, 1 where a pixel has the label."""
+    box = pixels.where(F.col(label) > 0).groupBy(F.col(label).alias("label"))
+    box = box.agg(F.min("y").alias("_y1"), F.max("y").alias("_y2"), F.min("x").alias("_x1"), F.max("x").alias("_x2"))
+    places = box.withColumn("y", F.explode(F.sequence("_y1", "_y2"))).withColumn("x", F.explode(F.sequence("_x1", "_x2")))
+    held = places.join(pixels.select("y", "x", F.col(label).alias("_here")), ["y", "x"])
+    return held.select("label", (F.col("y") - F.col("_y1")).alias("y"), (F.col("x") - F.col("_x1")).alias("x"), (F.col("_here") == F.col("label")).cast("int").alias("inside"))
 
 
 def nearest_center(pixels: DataFrame, points: DataFrame, y: Column, x: Column, cell: int = 64, rings: int = 2) -> DataFrame:

@@ -103,3 +103,8 @@ def upscale_nearest(cells: DataFrame, factor: int) -> DataFrame:
     """Each cell as factor x factor pixels."""
     many = lambda c: F.explode(F.sequence(F.col(c) * factor, F.col(c) * factor + (factor - 1)))
     return cells.withColumn("y", many("y")).withColumn("x", many("x"))
+
+
+def overlap_mask(tiles: DataFrame, start: str, stop: str) -> DataFrame:
+    """(idx): the places along an axis that two tiles or more share."""
+    return intervals.decode(intervals.vote(tiles.select(F.col(start).alias("s"), F.col(stop).alias("e")), [], 2))

@@ -137,7 +137,7 @@ def rle_encode(pixels):
     return R.pixel_runs(pixels, "gt").select("label", "y", "s", "e")
 
 
-@query("runs", sql="SELECT view, label, unnest(range(s, e)) AS idx FROM runs WHERE label % 50 = 1")
+@query("runs", sql="SELECT view, label, unnest(range(s, e)) AS idx FROM runs")
 def rle_decode(runs):
     return I.decode(runs.select("view", "label", "s", "e"))
 
@@ -506,7 +506,7 @@ def _height(pixels):
     return pixels.agg(F.coalesce(F.max("y") + 1, F.lit(0))).first()[0]
 
 
-@query("pixels", sql="SELECT y, x, gt FROM pixels WHERE y < 7 AND x < 120 UNION ALL SELECT y, x, 0 FROM (SELECT unnest(range(0, 16)) AS y) a, (SELECT unnest(range(0, 128)) AS x) b WHERE y >= 7 OR x >= 120")
+@query("pixels", sql="SELECT a.y, b.x, coalesce(p.gt, 0) AS gt FROM (SELECT unnest(range(0, CAST(ceil((SELECT max(y) + 1 FROM pixels) / 16.0) AS BIGINT) * 16)) AS y) a CROSS JOIN (SELECT unnest(range(0, 128)) AS x) b LEFT JOIN pixels p ON p.y = a.y AND p.x = b.x")
 def pad_image(pixels):
     return T.pad_to(pixels, _height(pixels), PIXEL_WIDTH, 16, "gt").select("y", "x", "gt")
 
@@ -516,17 +516,17 @@ def downscale(pixels):
     return T.downscale(pixels, "v", 2).withColumn("v", F.round("v", 9))
 
 
-@query("pixels", sql="SELECT y*2 + a AS y, x*2 + b AS x, gt FROM pixels, (SELECT unnest(range(0, 2)) AS a) i, (SELECT unnest(range(0, 2)) AS b) j WHERE y < 4")
+@query("pixels", sql="SELECT y*2 + a AS y, x*2 + b AS x, gt FROM pixels, (SELECT unnest(range(0, 2)) AS a) i, (SELECT unnest(range(0, 2)) AS b) j")
 def upscale(pixels):
     return T.upscale_nearest(pixels.select("y", "x", "gt"), 2)
 
 
-@query("pixels", sql="SELECT y, x, least(greatest(y - 16, 0), 36) AS ys, least(greatest(x - 16, 0), 96) AS xs, least(greatest(y - 16, 0), 36) + 32 AS ye, least(greatest(x - 16, 0), 96) + 32 AS xe FROM pixels WHERE v > 480 AND y < 68")
+@query("pixels", sql="WITH h AS (SELECT max(y) + 1 AS h FROM pixels) SELECT y, x, least(greatest(y - 16, 0), h - 32) AS ys, least(greatest(x - 16, 0), 96) AS xs, least(greatest(y - 16, 0), h - 32) + 32 AS ye, least(greatest(x - 16, 0), 96) + 32 AS xe FROM pixels, h WHERE v > 480")
 def crops_at(pixels):
     return T.crops_at(pixels.where("v > 480").select("y", "x"), 32, _height(pixels), PIXEL_WIDTH).select("y", "x", "ys", "xs", "ye", "xe")
 
 
-@query("planes", sql="SELECT z, true_id, p AS plane FROM planes, (SELECT unnest(range(0, 8)) AS p) t WHERE true_id % 100 = 1 AND abs(z - p) <= 2")
+@query("planes", sql="SELECT z, true_id, p AS plane FROM planes, (SELECT unnest(range(0, 8)) AS p) t WHERE abs(z - p) <= 2")
 def flipbooks(planes):
     return T.flipbooks(planes.select("z", "true_id"), 8)
 
@@ -544,7 +544,7 @@ def lift_xz(planes):
     return K.lift_runs(planes, ["true_id"], "xz", WIDTH, (1000, 10, WIDTH))
 
 
-@query("planes", sql="SELECT true_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT true_id, i, i - row_number() OVER (PARTITION BY true_id ORDER BY i) AS g FROM (SELECT true_id, CAST(floor(p/4160.0) AS BIGINT)*41600 + (p % 4160)*10 + z AS i FROM (SELECT true_id, z, unnest(range(s, e)) AS p FROM planes WHERE true_id % 10 = 1) a) b) c GROUP BY true_id, g")
+@query("planes", sql="SELECT true_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT true_id, i, i - row_number() OVER (PARTITION BY true_id ORDER BY i) AS g FROM (SELECT true_id, CAST(floor(p/4160.0) AS BIGINT)*41600 + (p % 4160)*10 + z AS i FROM (SELECT true_id, z, unnest(range(s, e)) AS p FROM planes) a) b) c GROUP BY true_id, g")
 def lift_yz(planes):
     return K.lift_runs(planes, ["true_id"], "yz", WIDTH, (1000, WIDTH, 10))
 
@@ -656,9 +656,9 @@ def center_offsets(pixels):
     return out.select("y", "x", "label", F.round("oy", 9).alias("oy"), F.round("ox", 9).alias("ox"))
 
 
-@query("pixels")
+@query("pixels", sql="WITH m AS (SELECT DISTINCT cy, cx FROM (SELECT CAST(floor(avg(y)) AS BIGINT) AS cy, CAST(floor(avg(x)) AS BIGINT) AS cx FROM pixels WHERE gt > 0 GROUP BY gt) t), h AS (SELECT p.y, p.x, coalesce(sum(exp(-((p.y - cy)*(p.y - cy) + (p.x - cx)*(p.x - cx)) / 18.0)), 0.0) AS heat FROM pixels p LEFT JOIN m ON abs(p.y - cy) <= 12 AND abs(p.x - cx) <= 12 GROUP BY p.y, p.x) SELECT y, x, round(heat / (SELECT max(heat) FROM h), 9) AS heat FROM h")
 def heatmap(pixels):
-    return R.heatmap(pixels, "gt", 3.0)
+    return R.heatmap(pixels, "gt", 3.0).withColumn("heat", F.round("heat", 9))
 
 
 @query("pixels")
@@ -691,6 +691,58 @@ def uncertain_points(pixels):
     return P.uncertain_points(pixels.withColumn("u", F.col("v") - 245), ["cls"], "u", 5).select("cls", "y", "x")
 
 
+# --- votes by position, reports, crops
+
+
+@query("runs", sql=f"WITH c AS (SELECT class_id, y, p, count(*) AS votes FROM ({_POSITIONS}) u GROUP BY class_id, y, p) SELECT class_id, y, min(p) AS s, max(p) + 1 AS e, votes FROM (SELECT *, p - row_number() OVER (PARTITION BY class_id, y, votes ORDER BY p) AS i FROM c) t GROUP BY class_id, y, votes, i")
+def range_votes(runs):
+    return I.votes(runs, ["class_id", "y"])
+
+
+@query("runs", sql=_ISLANDS.format(f"SELECT class_id, y, p FROM ({_POSITIONS}) u GROUP BY class_id, y, p HAVING count(*) >= 2"))
+def split_by_votes(runs):
+    return I.split_by_votes(I.votes(runs, ["class_id", "y"]), ["class_id", "y"], 2)
+
+
+@query("runs", sql="SELECT view, y, row_number() OVER (PARTITION BY view, y ORDER BY s, e, label) - 1 AS place, s, e FROM runs")
+def concat_sort_ranges(runs):
+    parts = [runs.where(F.col("class_id") == c) for c in (1, 2)]
+    return I.concat_sort(parts, ["view", "y"], ["label"]).select("view", "y", "place", "s", "e")
+
+
+@query("runs", sql="SELECT view, label, sum(e - s)::BIGINT AS area, row_number() OVER (PARTITION BY view ORDER BY sum(e - s) DESC, label) AS place FROM runs GROUP BY view, label")
+def areas_report(runs):
+    return O.areas_report(runs, ["view"], "label")
+
+
+@query("runs", sql="SELECT label, y, s FROM (SELECT label, y, s, row_number() OVER (PARTITION BY label ORDER BY y, s) AS k FROM runs WHERE view = 0) t WHERE k = 1")
+def jump_to_label(runs):
+    return O.first_places(runs.where("view = 0"), ["label"], ["y", "s"])
+
+
+@query("tiles", sql="SELECT p AS x FROM (SELECT unnest(range(xs, xe)) AS p FROM tiles) t GROUP BY p HAVING count(*) >= 2")
+def overlap_mask(tiles):
+    return T.overlap_mask(tiles, "xs", "xe").withColumnRenamed("idx", "x")
+
+
+@query("pixels", sql="WITH b AS (SELECT gt AS label, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM pixels WHERE gt > 0 GROUP BY gt) SELECT b.label, p.y - y1 AS y, p.x - x1 AS x, CASE WHEN p.gt = b.label THEN 1 ELSE 0 END AS inside FROM b JOIN pixels p ON p.y BETWEEN y1 AND y2 AND p.x BETWEEN x1 AND x2")
+def crop_and_binarize(pixels):
+    return R.crop_and_binarize(pixels, "gt")
+
+
+@query("boxes", sql="SELECT a.view, a.label, b.label AS holder FROM (SELECT view, label, CAST(floor((y1 + y2) / 2.0) AS BIGINT) AS y, CAST(floor((x1 + x2) / 2.0) AS BIGINT) AS x FROM boxes WHERE view = 0) a JOIN boxes b ON b.view = 1 AND a.y >= b.y1 AND a.y < b.y2 AND a.x >= b.x1 AND a.x < b.x2")
+def points_in_boxes(boxes):
+    mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("long")
+    points = boxes.where("view = 0").select("view", "label", mid("y1", "y2").alias("y"), mid("x1", "x2").alias("x"))
+    return J.points_in_boxes(points, boxes.where("view = 1").select(F.col("label").alias("holder"), "y1", "x1", "y2", "x2")).select("view", "label", "holder")
+
+
+@query("pixels", sql="WITH n AS (SELECT gt, pred, count(*) AS n FROM pixels GROUP BY gt, pred), g AS (SELECT gt, sum(n) AS a FROM n GROUP BY gt), p AS (SELECT pred, sum(n) AS a FROM n GROUP BY pred) SELECT n.gt, n.pred, round(n.n / CAST(g.a + p.a - n.n AS DOUBLE), 9) AS iou, round(2.0 * n.n / CAST(g.a + p.a AS DOUBLE), 9) AS dice, round(n.n / CAST(g.a AS DOUBLE), 9) AS ioa FROM n JOIN g ON g.gt = n.gt JOIN p ON p.pred = n.pred WHERE n.gt > 0 AND n.pred > 0")
+def object_overlap_scores(pixels):
+    out = M.object_overlaps(pixels, "gt", "pred")
+    return out.select("gt", "pred", *[F.round(c, 9).alias(c) for c in ("iou", "dice", "ioa")])
+
+
 # --- round trips, growing, streams
 
 
@@ -704,7 +756,7 @@ def tracker_json(runs):
     return trackers.from_documents(documents, ["view"]).select("view", "class_id", "label", "s", "e")
 
 
-@query("runs", sql="SELECT idx, label FROM (SELECT p AS idx, label, row_number() OVER (PARTITION BY p ORDER BY view DESC, label DESC) AS k FROM (SELECT unnest(range(s, e)) AS p, label, view FROM runs WHERE y < 400) t) u WHERE k = 1")
+@query("runs", sql="SELECT idx, label FROM (SELECT p AS idx, label, row_number() OVER (PARTITION BY p ORDER BY view DESC, label DESC) AS k FROM (SELECT unnest(range(s, e)) AS p, label, view FROM runs) t) u WHERE k = 1")
 def fill_volume(runs):
     from runlattice.sources import volumes
 
