@@ -30,6 +30,8 @@ def test_components_of_chains_stars_and_random_edges(spark):
     got = {x.id: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     expected = labels([e for e in edges if e[0] != e[1]])
     assert got == expected
+    rounds = components(spark.createDataFrame(edges, "u long, v long"), one_task=0)  # stars, not one task
+    assert {x.id: x.component for x in rounds.collect()} == expected
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
