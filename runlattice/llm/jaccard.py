@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from runlattice.functions.storage import materialize
 from runlattice.llm.common import batches, bounded, free, table
-from runlattice.llm.packed import deal, mix64, per_group, schema, text_bytes, unpack
-from runlattice.llm.shingles import Shingler
+from runlattice.llm.packed import deal, mix64, per_group, schema, text_bytes, trim, trimmed
+from runlattice.llm.shingles import shingle_sets
 from runlattice.operators.graph import components
 
 #: Up to this band (sizes below 2**band) segments have one-deletion neighbourhoods.
 NEIGHBOUR_BAND = 5
-GROUP_BYTES, ACROSS_ENTRIES = 8_000_000, 300_000
+GROUP_BYTES, ACROSS_ENTRIES, COUNTED = 4_000_000, 300_000, 1_000_000
 #: Keys of at least so many sets remember which pairs were compared, while they hold at most so many sets in all.
 BIG_RUN, MEMO_CLASSES = 64, 8_000
 DELETED, EMPTY, PROBE, LOW = 1, 2, 4, 8
@@ -137,11 +137,9 @@ def sets(docs: DataFrame) -> DataFrame:
     """A row for each document: size and class of its set, and its segments with tokens, by band."""
 
     def run(it):
-        shingle = Shingler()
         for batch in batches(it):
             rows = []
-            for text in batch.column(2).to_pylist():
-                h = shingle(text)
+            for h in shingle_sets(batch.column(2).to_pylist()):
                 b = bands(len(h))
                 u = [units(h, x) for x in b] + [0, 0]
                 rows.append((len(h), class_of(h) if len(h) else None, u[0], u[1], bitmap(h) if len(h) >= 4 else b""))
@@ -151,12 +149,11 @@ def sets(docs: DataFrame) -> DataFrame:
                 [x.split()[0] for x in SETS.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(lambda it: trimmed(run(it)), SETS)
 
 
 def _subset_entries(docs: DataFrame, groups: int) -> DataFrame:
     def run(it):
-        shingle = Shingler()
         seen: set[int] = set()  # equal sets of one task are one
         keys, classes, flags, n = [], [], [], 0
 
@@ -166,8 +163,7 @@ def _subset_entries(docs: DataFrame, groups: int) -> DataFrame:
                 yield from deal(k, [k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), c, f], groups)
 
         for batch in batches(it):
-            for text in batch.column(0).to_pylist():
-                h = shingle(text)
+            for h in shingle_sets(batch.column(0).to_pylist()):
                 if len(h) < 4:
                     continue
                 cls = class_of(h)
@@ -184,7 +180,7 @@ def _subset_entries(docs: DataFrame, groups: int) -> DataFrame:
                 keys, classes, flags, n = [], [], [], 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, schema(4))
+    return docs.select("text").mapInArrow(lambda it: trimmed(run(it)), schema(4))
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -221,19 +217,30 @@ def _arrays(batch):
 
 
 def _counts(shared: DataFrame) -> DataFrame:
-    """(cls, own, low, small): subsets of a class that others have, by band; small: by neighbourhoods or empty segments."""
+    """(cls, own, low, other): subsets of a class that others have, by band; other: by neighbourhoods or empty segments."""
+
+    def counted(held):
+        cls, flag = (np.concatenate(x) for x in zip(*held))
+        u, where = np.unique(cls, return_inverse=True)
+        full = (flag & (EMPTY | DELETED)) == 0
+        own = np.bincount(where, full & ((flag & LOW) == 0), len(u)).astype(np.int64)
+        low = np.bincount(where, full & ((flag & LOW) > 0), len(u)).astype(np.int64)
+        other = np.bincount(where, ~full, len(u)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, own, low, other)], ["cls", "own", "low", "other"])
 
     def run(it):
+        held, n = [], 0  # a class goes out once for the groups that a task holds together
         for batch in it:
             for _, cls, flag in _arrays(batch):
-                u, where = np.unique(cls, return_inverse=True)
-                full = (flag & (EMPTY | DELETED)) == 0
-                own = np.bincount(where, full & ((flag & LOW) == 0), len(u)).astype(np.int64)
-                low = np.bincount(where, full & ((flag & LOW) > 0), len(u)).astype(np.int64)
-                other = np.bincount(where, ~full, len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, own, low, other)], ["cls", "own", "low", "other"])
-
-    rows = shared.mapInArrow(run, "cls long, own long, low long, other long")
+                held.append((cls, flag))
+                n += len(cls)
+                if n > COUNTED:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
+
+    rows = shared.mapInArrow(lambda it: trimmed(run(it)), "cls long, own long, low long, other long")
     return rows.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("own", "low", "other")])
 
 
@@ -265,7 +272,7 @@ def _hubs(shared: DataFrame) -> DataFrame:
                     u, c = np.unique(pair, axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(c)], ["a", "b", "n"])
 
-    rows = shared.mapInArrow(run, "a long, b long, n long")
+    rows = shared.mapInArrow(lambda it: trimmed(run(it)), "a long, b long, n long")
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -278,7 +285,7 @@ def _entries(shared: DataFrame, groups: int) -> DataFrame:
                     [pa.array(g), pa.array(key.view(np.int64)), pa.array(cls), pa.array(flag.astype(np.int32))], ["g", "key", "cls", "flag"]
                 )
 
-    return shared.mapInArrow(run, "g int, key long, cls long, flag int")
+    return shared.mapInArrow(lambda it: trimmed(run(it)), "g int, key long, cls long, flag int")
 
 
 def _pairs_of(at: np.ndarray, size: int, most: int = 200_000):
@@ -398,6 +405,8 @@ def _across(entries: DataFrame, labels: DataFrame, tree: bool) -> DataFrame:
                 left.column("key").to_numpy()[live], cls[live], right.column("comp").to_numpy()[where], left.column("flag").to_numpy()[live],
                 right.column("n_shingles").to_numpy()[where], [bits[i] for i in where], tree,
             )
+            del bits
+        trim()
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return entries.groupBy("g").cogroup(own.groupBy("g2")).applyInArrow(run, "a long, b long").distinct()
@@ -418,19 +427,23 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     left = fetch(pairs.select("a").distinct().join(reps.withColumnRenamed("cls", "a"), "a")).select("a", F.col("text").alias("text_a"))
 
     def run(it):
-        shingle = Shingler()
         last, of = None, None
         for batch in batches(it, 500):
             us, vs = [], []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if a != last:
-                    last, of = a, shingle(x)
-                if linked(of, shingle(y)):
+            a_s, b_s, xs, ys = (batch.column(i).to_pylist() for i in range(4))
+            lead = [k == 0 or a != a_s[k - 1] for k, a in enumerate(a_s)]
+            leads = shingle_sets([x for x, new in zip(xs, lead) if new])
+            for a, b, new, other in zip(a_s, b_s, lead, shingle_sets(ys)):
+                if new:
+                    own = next(leads)
+                    if a != last:
+                        last, of = a, own
+                if linked(of, other):
                     us.append(a)
                     vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long").distinct()
+    return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: trimmed(run(it)), "u long, v long").distinct()
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

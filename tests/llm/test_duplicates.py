@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from runlattice.llm import jaccard, line_dedup, suffix_dedup
-from runlattice.llm.shingles import Shingler
+from runlattice.llm.shingles import shingle_sets
 from tests.llm.data import DOCS, documents
 
 
@@ -179,7 +179,18 @@ def test_repeated_bytes_equal_brute_force(spark, max_regions):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_shingles_ignore_ascii_case_only():
-    s = Shingler()
-    assert (s("A b C d E f") == s("a B c D e F")).all() and len(s("")) == len(s(None)) == 0
-    assert not (s("É") == s("é")).all() and len(s("a b")) == 1
+def test_shingle_sets_are_those_of_brute_force():
+    def brute(text):
+        ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return frozenset([tuple(ws)] if 0 < len(ws) < 5 else [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)])
+
+    r = random.Random(5)
+    texts = [None, "", " \n", "a", "a b", "b a", "É", "é", "A b C d E f", "a B c D e F", "a b c d", "a b c d e", "x\x0by\x0cz\x1cw\x85v\xa0u t s r", "b" * 64 + " c d e f g", "b" * 65 + " c d e f g"]
+    texts += ["".join(r.choice("aB \n\t") for _ in range(r.randint(0, 60))) for _ in range(800)]
+    texts += ["w" * r.randint(1, 90) + " " + "é" * r.randint(1, 70) + " v" * 5 for _ in range(200)] + ["word " * 300_000, "a " * 9]
+    hashes: dict = {}
+    for text, h in zip(texts, shingle_sets(texts), strict=True):
+        assert len(h) == len(brute(text)) and (h[1:] > h[:-1]).all()
+        hashes.setdefault(brute(text), set()).add(tuple(h.tolist()))
+    assert all(len(x) == 1 for x in hashes.values()) and len(set.union(*hashes.values())) == len(hashes)
+    assert [x.tolist() for t in texts[:50] for x in shingle_sets([t])] == [x.tolist() for x in shingle_sets(texts[:50])]
