@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlattice.operators.assign import match
+from runlattice.operators.objects import global_rank
 
 EPS = 1e-5
 
@@ -35,13 +36,13 @@ def counts(matched: DataFrame, n_gt: DataFrame, n_pred: DataFrame, least: float)
     return hits.na.fill(0).join(n_gt).join(n_pred)  # rows of totals
 
 
-def scores_of(c: DataFrame) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1, ap, mean_iou; with nothing to find and nothing found, 1."""
+def scores_of(c: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, tp, fp, fn, precision, recall, f1, ap, mean_iou, pq; with nothing to find and nothing found, 1."""
     fp, fn, tp = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("tp"), F.col("tp")
     empty = (F.col("n_gt") == 0) & (F.col("n_pred") == 0)
     share = lambda a, b: F.when(empty, 1.0).when(b > 0, a / b).otherwise(0.0)
     return c.select(
-        tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"),
+        *keys, tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"),
         share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"),
         share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp, tp + fp + fn).alias("ap"),
         share(F.col("iou_sum"), tp).alias("mean_iou"),
@@ -107,14 +108,11 @@ def ema(values: DataFrame, keys: list[str], order: str, value: str, momentum: fl
 def top_share_mean(losses: DataFrame, loss: str, share: float = 0.2) -> DataFrame:
     """One row: the mean of the largest ``share`` of the losses (whole rows, cut down).
 
-    Equal losses are counted first, so the window runs over distinct values only.
+    Losses are ranked by ranges, so no window runs over all of them; equal losses are as good as each other.
     """
-    per = losses.groupBy(loss).agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.floor(F.sum("n") * share).alias("k"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(loss)).rowsBetween(W.unboundedPreceding, -1)
-    used = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(total))
-    take = F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before")))
-    return used.agg((F.sum(take * F.col(loss)) / F.max("k")).alias("loss"))
+    ranked = global_rank(losses.select((-F.col(loss)).alias("_l")), ["_l"], out="_r")
+    k = losses.agg(F.floor(F.count(F.lit(1)) * share).alias("k"))  # one row
+    return ranked.join(F.broadcast(k), F.col("_r") <= F.col("k")).agg((F.sum(-F.col("_l")) / F.max("k")).alias("loss"))
 
 
 def mean_squared(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runlattice.functions.storage import materialize
 from runlattice.operators import intervals
 from runlattice.operators.graph import components
 from runlattice.operators.joins import overlaps
@@ -158,21 +159,33 @@ def crop_and_binarize(pixels: DataFrame, label: str) -> DataFrame:
 
 
 def nearest_center(pixels: DataFrame, points: DataFrame, y: Column, x: Column, cell: int = 64, rings: int = 2) -> DataFrame:
-    """(pixels.*, center): the centre nearest to (y, x), ties to the lowest id; ``points``: (center, cy, cx).
+    """(pixels.*, center): the centre nearest to (y, x), ties to the lowest id; null without centres. ``points``: (center, cy, cx).
 
     Centres enter the cells around their own, so a pixel meets those of its neighbourhood in one equality join.
-    What has none within ``rings`` cells, or may have a nearer one beyond, is compared with all centres, which are
-    one per object and broadcast by Spark where they are few.
+    What has none within ``rings`` cells, or may have a nearer one beyond, is asked again with cells eight times as
+    wide, until nothing is left or one cell holds all.
     """
+    keys = [*pixels.columns, "_y", "_x"]
     ring = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)]
     moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ring])
-    at = points.select("center", "cy", "cx", F.explode(moves).alias("_m"))
-    at = at.select("center", "cy", "cx", (F.floor(F.col("cy") / cell) + F.col("_m.a")).alias("_a"), (F.floor(F.col("cx") / cell) + F.col("_m.b")).alias("_b"))
-    asked = pixels.withColumns({"_y": y, "_x": x}).withColumns({"_a": F.floor(F.col("_y") / cell), "_b": F.floor(F.col("_x") / cell)})
     dist = (F.col("cy") - F.col("_y")) ** 2 + (F.col("cx") - F.col("_x")) ** 2
     best = F.min(F.struct(dist.alias("d"), "center"))
-    keys = [*pixels.columns, "_y", "_x"]
-    near = asked.join(at, ["_a", "_b"], "left").groupBy(*keys).agg(best.alias("_n"))
-    sure = F.col("_n.center").isNotNull() & (F.col("_n.d") <= float(rings * cell) ** 2)
-    rest = near.where(~sure).drop("_n").join(points).groupBy(*keys).agg(best.alias("_n"))
-    return near.where(sure).unionByName(rest).select(*pixels.columns, F.col("_n.center").alias("center"))
+    left, done = pixels.withColumns({"_y": y, "_x": x}), None
+    while True:
+        at = points.select("center", "cy", "cx", F.explode(moves).alias("_m"))
+        at = at.select("center", "cy", "cx", (F.floor(F.col("cy") / cell) + F.col("_m.a")).alias("_a"), (F.floor(F.col("cx") / cell) + F.col("_m.b")).alias("_b"))
+        asked = left.withColumns({"_a": F.floor(F.col("_y") / cell), "_b": F.floor(F.col("_x") / cell)})
+        near = materialize(asked.join(at, ["_a", "_b"], "left").groupBy(*keys).agg(best.alias("_n")), "nearest")
+        sure = F.col("_n.center").isNotNull() & (F.col("_n.d") <= float(rings * cell) ** 2)
+        told = near.where(F.coalesce(sure, F.lit(False)))
+        done = told if done is None else done.unionByName(told)
+        left = near.where(~F.coalesce(sure, F.lit(False))).drop("_n")
+        far = left.agg(F.max(F.greatest(F.abs("_y"), F.abs("_x"))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if far.n == 0:
+            break
+        top = points.agg(F.max(F.greatest(F.abs("cy"), F.abs("cx")))).first()[0]
+        if top is None or rings * cell > 2 * 1.5 * max(far.m or 0, top, 1):  # no centres, or all were met
+            done = done.unionByName(near.where(~F.coalesce(sure, F.lit(False))))
+            break
+        cell *= 8
+    return done.select(*pixels.columns, F.col("_n.center").alias("center"))

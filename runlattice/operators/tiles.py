@@ -46,10 +46,20 @@ def to_global(runs: DataFrame, tiles: DataFrame, width: int) -> DataFrame:
     return placed.select(*rest, start.alias("s"), (start + F.col("e") - F.col("s")).alias("e"))
 
 
-def crop_runs(runs: DataFrame, tiles: DataFrame, width: int) -> DataFrame:
-    """Runs of an image (y, s, e, split at rows) cut to each tile, in the tile's own flat index."""
+def crop_runs(runs: DataFrame, tiles: DataFrame, width: int, cell: int = 1024) -> DataFrame:
+    """Runs of an image (y, s, e, split at rows) cut to each tile, in the tile's own flat index.
+
+    Runs and tiles meet in the cells of a grid that they touch; a pair counts in the cell where the later one begins.
+    """
     x1, x2 = F.col("s") - F.col("y") * width, F.col("e") - F.col("y") * width
-    cut = runs.join(F.broadcast(tiles), (F.col("y") >= F.col("ys")) & (F.col("y") < F.col("ye")) & (x1 < F.col("xe")) & (x2 > F.col("xs")))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor((hi - 1) / cell)))
+    rows = runs.agg((F.coalesce(F.max("y"), F.lit(0)) + 1).alias("_h"))  # one row
+    placed = tiles.join(F.broadcast(rows)).where((F.col("ys") < F.col("_h")) & (F.col("ye") > F.col("ys")) & (F.col("xe") > F.col("xs")))
+    placed = placed.withColumn("_cy", span(F.col("ys"), F.least("ye", "_h"))).withColumn("_cx", span(F.col("xs"), F.col("xe"))).drop("_h")
+    celled = runs.where("e > s").withColumns({"_cy": F.floor(F.col("y") / cell), "_cx": span(x1, x2)})
+    cut = celled.join(placed, ["_cy", "_cx"])
+    cut = cut.where((F.col("y") >= F.col("ys")) & (F.col("y") < F.col("ye")) & (x1 < F.col("xe")) & (x2 > F.col("xs")))
+    cut = cut.where(F.floor(F.greatest(x1, F.col("xs")) / cell) == F.col("_cx"))
     w = F.col("xe") - F.col("xs")
     lo, hi = F.greatest(x1, F.col("xs")), F.least(x2, F.col("xe"))
     base = (F.col("y") - F.col("ys")) * w - F.col("xs")

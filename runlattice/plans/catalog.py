@@ -21,6 +21,7 @@ from runlattice.operators import panoptic as P
 from runlattice.operators import raster as R
 from runlattice.operators import tiles as T
 from runlattice.operators import tracking as K
+from runlattice.operators import workflows as X
 from runlattice.operators.assign import match
 from runlattice.operators.graph import components
 from runlattice.plans.fixtures import DIVISOR, PIXEL_WIDTH, WIDTH, load, with_tables
@@ -481,14 +482,16 @@ def merge_tiles_semantic(runs, tiles):
     return I.union(back.withColumn("y", F.floor(F.col("s") / WIDTH)), ["view", "y"])
 
 
-@query("runs", "tiles", sql="SELECT view, label, s, e FROM runs WHERE view = 0")
+_CUTS = "SELECT r.view, r.y, t.tile, (r.label*3 + r.view)*16 + t.tile AS node, greatest(r.s, r.y*4160 + t.xs) AS s, least(r.e, r.y*4160 + t.xe) AS e FROM runs r JOIN tiles t ON r.s - r.y*4160 < t.xe AND r.e - r.y*4160 > t.xs"
+
+
+@query("runs", "tiles", sql=f"WITH RECURSIVE cut AS ({_CUTS}), edge AS (SELECT DISTINCT a.node AS u, b.node AS v FROM cut a JOIN cut b ON a.view = b.view AND a.y = b.y AND a.s < b.e AND b.s < a.e AND a.tile <> b.tile), reach(id, c) AS (SELECT u, u FROM edge UNION SELECT r.id, e.v FROM reach r JOIN edge e ON e.u = r.c), comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id), px AS (SELECT DISTINCT coalesce(c, node) AS instance, view, y, unnest(range(s, e)) AS p FROM cut LEFT JOIN comp ON id = node) SELECT CAST(instance AS BIGINT) AS instance, view, min(p) AS s, max(p) + 1 AS e FROM (SELECT instance, view, y, p, p - row_number() OVER (PARTITION BY instance, view, y ORDER BY p) AS i FROM px) t GROUP BY instance, view, y, i")
 def merge_tiles_instances(runs, tiles):
     t = _tile_table(tiles)
-    cut = T.to_global(T.crop_runs(runs.where("view = 0").select("view", "label", "y", "s", "e"), t, WIDTH), t, WIDTH)
-    cut = cut.withColumns({"y": F.floor(F.col("s") / WIDTH), "node": F.col("label") * 16 + F.col("tile"), "source": F.col("tile")})
-    # an object that only touches at a tile's edge has no overlap there: label joins those cuts
-    whole = C.merge_tiles(cut, ["view", "y"], WIDTH)
-    return I.union(whole.withColumn("label", F.floor(F.col("instance") / 16)), ["view", "label", "y"]).select("view", "label", "s", "e")
+    cut = T.to_global(T.crop_runs(runs.select("view", "label", "y", "s", "e"), t, WIDTH), t, WIDTH)
+    node = (F.col("label") * 3 + F.col("view")) * 16 + F.col("tile")
+    cut = cut.withColumns({"y": F.floor(F.col("s") / WIDTH), "node": node, "source": F.col("tile")})
+    return C.merge_tiles(cut, ["view", "y"], WIDTH).select("instance", "view", "s", "e")
 
 
 @query("pixels", sql="SELECT CAST(floor(y/32.0) AS BIGINT) AS py, CAST(floor(x/32.0) AS BIGINT) AS px, y % 32 AS ty, x % 32 AS tx, gt FROM pixels")
@@ -743,6 +746,87 @@ def object_overlap_scores(pixels):
     return out.select("gt", "pred", *[F.round(c, 9).alias(c) for c in ("iou", "dice", "ioa")])
 
 
+# --- workflows
+
+_MAP_CLASS = "CASE WHEN sem > 0.8 THEN 1 WHEN sem > 0.4 THEN 2 ELSE 3 END"
+_PANOPTIC = f"WITH k AS ({_CENTERS}), d AS (SELECT p.y, p.x, k.c, (k.y - p.y - p.oy)*(k.y - p.y - p.oy) + (k.x - p.x - p.ox)*(k.x - p.x - p.ox) AS d FROM pred_maps p, k), g AS (SELECT y, x, CAST(arg_min(c, d*100000 + c) AS BIGINT) AS ins FROM d GROUP BY y, x), p AS (SELECT q.y, q.x, {_MAP_CLASS} AS sem, CASE WHEN {_MAP_CLASS} < 3 THEN g.ins ELSE 0 END AS ins FROM pred_maps q JOIN g ON g.y = q.y AND g.x = q.x), m AS (SELECT ins, sem FROM (SELECT ins, sem, row_number() OVER (PARTITION BY ins ORDER BY count(*) DESC, sem) AS k FROM p WHERE ins > 0 GROUP BY ins, sem) t WHERE k = 1), n AS (SELECT ins, sem, row_number() OVER (PARTITION BY sem ORDER BY ins) AS i FROM m), st AS (SELECT sem FROM p WHERE ins = 0 AND sem = 3 GROUP BY sem HAVING count(*) >= 32) SELECT y, x, CAST(CASE WHEN p.ins > 0 THEN n.sem*1000 + n.i WHEN p.sem IN (SELECT sem FROM st) THEN p.sem*1000 ELSE 0 END AS BIGINT) AS pan FROM p LEFT JOIN n ON n.ins = p.ins"
+
+
+@query("pred_maps", sql=_PANOPTIC)
+def panoptic_segmentation(maps):
+    sem = F.when(F.col("sem") > 0.8, 1).when(F.col("sem") > 0.4, 2).otherwise(3).cast("long")
+    return X.panoptic_segmentation(maps.select("y", "x", sem.alias("sem"), "ctr", "oy", "ox"), [1, 2], DIVISOR, 32)
+
+
+@query("pixels", sql=_PANOPTIC)
+def segment_images(pixels):
+    """A stand-in for a network: the maps of the table pred_maps, computed from batches of pixels."""
+
+    def model(pdf):
+        v = pdf.v / 490.02
+        return pdf.assign(
+            sem=3 - (v > 0.4) * 1 - (v > 0.8) * 1, ctr=v, oy=((pdf.y * 3 + pdf.x * 5) % 7 - 3) * 1.0, ox=((pdf.y * 5 + pdf.x * 3) % 7 - 3) * 1.0
+        )[["y", "x", "sem", "ctr", "oy", "ox"]]
+
+    return X.segment_images(pixels.select("y", "x", "v"), model, [1, 2], DIVISOR, 32)
+
+
+_PARTS = "SELECT CAST(floor(gt / 100.0) AS BIGINT) AS class_id, gt, CASE WHEN gt < 200 AND y % 8 > 3 THEN 1 ELSE 0 END AS part, y, x FROM pixels WHERE gt > 0 AND y % 8 <> 3 AND gt < 300"
+
+
+@query("pixels", sql=f"WITH p AS ({_PARTS}), f AS (SELECT class_id, gt, part, min(y*128 + x) AS first FROM p GROUP BY class_id, gt, part), n AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY first) AS k FROM f) SELECT p.class_id, CASE WHEN p.class_id < 2 THEN p.class_id*100 + n.k ELSE p.gt END AS label, p.y, min(p.x) AS s, max(p.x) + 1 AS e FROM p JOIN n ON n.class_id = p.class_id AND n.gt = p.gt AND n.part = p.part GROUP BY p.class_id, p.gt, p.part, n.k, p.y")
+def panoptic_runs(pixels):
+    # cells are cut in two by a row without labels; the instances of classes 0 and 1 must be connected
+    gt = F.when(F.pmod("y", F.lit(8)) == 3, 0).otherwise(F.col("gt")).cast("long")
+    return X.panoptic_runs(pixels.select("y", "x", gt.alias("gt")), "gt", [0, 1, 2], 100, [0, 1])
+
+
+@query("pixels", sql="SELECT a.y, b.x, coalesce(CASE WHEN p.gt < 200 THEN p.gt ELSE 0 END, 0) AS pan FROM (SELECT unnest(range(0, (SELECT max(y) + 1 FROM pixels))) AS y) a CROSS JOIN (SELECT unnest(range(0, 128)) AS x) b LEFT JOIN pixels p ON p.y = a.y AND p.x = b.x")
+def paint_runs(pixels):
+    runs = X.panoptic_runs(pixels, "gt", [0, 1], 100, [0, 1], connected=False)
+    return X.paint_runs(runs, _height(pixels), PIXEL_WIDTH)
+
+
+@query("planes", sql="WITH p AS (SELECT 1 + true_id % 2 AS class_id, true_id AS label, z, z*4000000 + s AS s, z*4000000 + e AS e FROM planes), n AS (SELECT class_id, label, row_number() OVER (PARTITION BY class_id ORDER BY min(s), label) AS k, sum(e - s) AS area, max(z) + 1 - min(z) AS span FROM p GROUP BY class_id, label) SELECT p.class_id, p.label, p.s, p.e, n.k AS new_label FROM p JOIN n ON n.class_id = p.class_id AND n.label = p.label WHERE p.class_id = 2 OR (n.area >= 160 AND n.span >= 5)")
+def stack_postprocessing(planes):
+    lift = F.col("z") * 4_000_000
+    runs = planes.select((1 + F.pmod("true_id", F.lit(2).cast("long"))).cast("long").alias("class_id"), F.col("true_id").alias("label"), "z", (lift + F.col("s")).alias("s"), (lift + F.col("e")).alias("e"))
+    out = X.stack_postprocessing(runs, [1], [(F.col("z"), F.col("z") + 1)], 160, 5)
+    return out.select("class_id", "label", "s", "e", "new_label")
+
+
+@query("runs")
+def tracker_consensus(runs):
+    extents = [(F.col("y"), F.col("y") + 1)]
+    return X.tracker_consensus(_nodes(runs), ["y"], WIDTH, 3, [1], extents, 2, 0.75, False, 150, 3)
+
+
+_EVAL_SEM = f"SELECT class_id, CAST(sum((n = 2)::INT) AS DOUBLE)/count(*) AS iou FROM (SELECT class_id, p, count(DISTINCT view) AS n FROM ({_POSITIONS}) u WHERE view < 2 GROUP BY class_id, p) t GROUP BY class_id"
+_RATES = "CAST(tp AS BIGINT) AS tp, CAST(np - tp AS BIGINT) AS fp, CAST(ng - tp AS BIGINT) AS fn, CAST(tp AS DOUBLE)/np AS precision, CAST(tp AS DOUBLE)/ng AS recall, 2.0::DOUBLE*tp/(np + ng) AS f1, CAST(tp AS DOUBLE)/(np + ng - tp) AS ap, round(si/tp, 9) AS mean_iou, round(si/(tp + (np - tp)/2.0::DOUBLE + (ng - tp)/2.0::DOUBLE), 9) AS pq"
+
+
+@query("runs", sql=f"WITH m AS (SELECT c.class_id, count(*) AS tp, CAST(sum(iou) AS DOUBLE) AS si FROM ({_SCORES}) t JOIN (SELECT DISTINCT class_id, label FROM runs) c ON c.label = la WHERE iou > 0.5 GROUP BY c.class_id), n AS (SELECT class_id, count(DISTINCT CASE WHEN view = 0 THEN label END) AS ng, count(DISTINCT CASE WHEN view = 1 THEN label END) AS np FROM runs GROUP BY class_id), s AS ({_EVAL_SEM}) SELECT n.class_id, round(s.iou, 9) AS iou, {_RATES} FROM n JOIN m ON m.class_id = n.class_id JOIN s ON s.class_id = n.class_id")
+def evaluate(runs):
+    out = X.evaluate(*_pair(runs), ["y"], WIDTH)
+    return out.withColumns({c: F.round(c, 9) for c in ("iou", "mean_iou", "pq")})
+
+
+@query("pixels", sql=f"WITH m AS (SELECT CAST(floor(a / 100.0) AS BIGINT) AS c, count(*) AS tp, CAST(sum(iou) AS DOUBLE) AS si FROM ({_PIOU}) t WHERE iou > 0.5 AND floor(a / 100.0) = floor(b / 100.0) GROUP BY 1), n AS (SELECT CAST(c AS BIGINT) AS class_id, (SELECT count(DISTINCT gt) FROM pixels WHERE gt > 0 AND floor(gt / 100.0) = c) AS ng, (SELECT count(DISTINCT pred) FROM pixels WHERE pred > 0 AND floor(pred / 100.0) = c) AS np FROM (SELECT unnest(range(0, 20)) AS c) u), r AS (SELECT class_id, ng, np, coalesce(tp, 0) AS tp, coalesce(si, 0.0::DOUBLE) AS si FROM n LEFT JOIN m ON m.c = n.class_id) SELECT class_id, tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np + ng = 0 THEN 1.0::DOUBLE ELSE round(si/(tp + 1e-5::DOUBLE)*tp/(tp + (np - tp)/2.0::DOUBLE + (ng - tp)/2.0::DOUBLE), 9) END AS pq FROM r")
+def class_panoptic_quality(pixels):
+    return X.class_panoptic_quality(pixels, "gt", "pred", list(range(20)), 100).withColumn("pq", F.round("pq", 9))
+
+
+@query("pixels", sql="SELECT i.y*2 + 1 AS y, p.x, p.gt FROM pixels p JOIN (SELECT y FROM pixels WHERE x = 5 AND v > 240) i ON i.y = p.y")
+def take_rows(pixels):
+    index = pixels.where("x = 5 AND v > 240").select("y", (F.col("y") * 2 + 1).alias("place"))
+    return X.take(pixels.select("y", "x", "gt"), index, "y").select("y", "x", "gt")
+
+
+@query("pixels", sql="SELECT y, x, CASE WHEN y IN (SELECT y FROM pixels WHERE x = 5 AND v > 240) THEN 7 ELSE gt END AS gt FROM pixels")
+def put_rows(pixels):
+    return X.put(pixels.select("y", "x", "gt"), pixels.where("x = 5 AND v > 240"), "y", "gt", F.lit(7).cast("long")).select("y", "x", "gt")
+
+
 # --- round trips, growing, streams
 
 
