@@ -4,14 +4,16 @@ N-grams of ORDER characters are counted over all trusted text (summed per task b
 lower orders get continuation counts from the table of the order above.  Discounts come from counts of
 counts, back-off weights from sums per context, and joins sharded by n-gram or context turn the tables
 into a probability for each seen n-gram of each order.  Documents get the perplexity of their whole
-text and are kept up to a quantile of the trusted documents of their language.
+text and are kept up to a quantile of the trusted documents of their language that the model hasn't seen:
+one trusted text in HELD_OUT, told by its hash, is left out of training for that.
 
 A model of at most ``MAX_BROADCAST`` rows is broadcast; a larger one stays sharded and is joined with
 the documents' n-gram counts.  Both give the same perplexity.
 
 Null or empty text has no perplexity and isn't kept.  Null language is a group of its own; a language
-with fewer than MIN_TRUSTED trusted documents takes the quantile over all.  Without trusted text all
-perplexities are null and what has text is kept.  Repeated rows are judged alike; clashing columns of
+with fewer than MIN_TRUSTED held-out documents takes the quantile over all of them; where none is held out or
+none would be left to train on, the trusted documents do both.  Without trusted text all perplexities are null and
+what has text is kept.  Texts may be of any length; an empty table gives an empty one.  Repeated rows are judged alike; clashing columns of
 the caller are replaced.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from runlattice.functions.storage import materialize
-from runlattice.llm.common import batches, bounded, table
+from runlattice.llm.common import batches, bounded, free, table
 
 ORDER, BITS = 4, 15
 BEGIN, UNKNOWN, FIRST = 1, 2, 3
@@ -32,7 +34,7 @@ MAX_SYMBOLS = (1 << BITS) - FIRST
 MAX_BROADCAST = 2_000_000
 #: Ids of trusted documents, eight bytes each, that are broadcast; more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1_000_000
-QUANTILE, SLACK, MIN_TRUSTED = 0.995, 1.05, 20
+QUANTILE, MIN_TRUSTED, HELD_OUT = 0.995, 20, 10
 MASK = (1 << BITS) - 1
 
 
@@ -154,11 +156,10 @@ def local(model: list[tuple[DataFrame, DataFrame]]) -> Local:
     return Local(orders)
 
 
-def score_local(docs: DataFrame, model: Local, ids: np.ndarray) -> DataFrame:
-    """``docs`` with perplexity, the model broadcast."""
-    rest = docs.drop("perplexity")
+def score_local(docs: DataFrame, model: Local, ids: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with perplexity, the model broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model, ids))
-    at, names = rest.columns.index("text"), [*rest.columns, "perplexity"]
+    at, places, names = docs.columns.index("text"), [docs.columns.index(c) for c in keep], [*keep, "perplexity"]
 
     def run(it):
         lm, table_ = shared.value
@@ -168,24 +169,26 @@ def score_local(docs: DataFrame, model: Local, ids: np.ndarray) -> DataFrame:
             u, where = np.unique(np.concatenate(held), return_inverse=True)
             total = np.bincount(np.repeat(np.arange(len(n)), n), lm.log_p(u)[where] if len(u) else None, len(n))
             ppl = np.exp(-total / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ppl, pa.float64(), mask=n == 0)], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], pa.array(ppl, pa.float64(), mask=n == 0)], names)
 
-    return rest.mapInArrow(run, StructType(list(rest.schema)).add("perplexity", "double"))
+    kinds = {f.name: f for f in docs.schema}
+    return docs.mapInArrow(run, StructType([kinds[c] for c in keep]).add("perplexity", "double"))
 
 
-def score_joined(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], ids: np.ndarray) -> DataFrame:
-    """``docs`` with perplexity by joins of n-gram counts with the sharded model."""
-    rest = docs.drop("perplexity").withColumn("_k", F.xxhash64("text"))
+def score_joined(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], ids: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with perplexity by joins of n-gram counts with the sharded model."""
+    (key,) = free(docs, "key")
+    rest = docs.withColumn(key, F.sha2("text", 256))
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(it):
         for batch in batches(it, 300):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     g, c = np.unique(grams(text, shared.value), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key)), pa.array(g), pa.array(c)], ["_k", "g", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(g)), pa.array(g), pa.array(c)], ["_k", "g", "c"])
 
-    per = rest.select("_k", "text").dropDuplicates(["_k"]).mapInArrow(run, "_k long, g long, c long")
+    per = rest.select(F.col(key).alias("_k"), "text").dropDuplicates(["_k"]).mapInArrow(run, "_k string, g long, c long")
     # each distinct n-gram is looked up once, order by order, and its probability joined back
     want = per.select("g").distinct().withColumns({"lp": F.lit(0.0), "done": F.lit(False)})
     for k in range(len(model), 0, -1):
@@ -197,33 +200,51 @@ def score_joined(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], ids:
     floor = -np.log(model[0][0].count() + 1.0)
     want = want.select("g", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") + float(floor)).alias("lp"))
     sums = per.join(want, "g").groupBy("_k").agg(F.exp(-F.sum(F.col("c") * F.col("lp")) / F.sum("c")).alias("perplexity"))
-    return rest.join(sums, "_k", "left").drop("_k")
+    return rest.select(*keep, key).join(sums.withColumnRenamed("_k", key), key, "left").select(*keep, "perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with perplexity, threshold and kept."""
+def trained_on(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """(what of the trusted texts the model is trained on, whether the others are held out)."""
+    out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    kinds = texts.select(out.alias("o")).groupBy("o").count().collect()  # two rows at most
+    return (texts.where(~out), True) if len(kinds) == 2 else (texts, False)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_broadcast: int = MAX_BROADCAST, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, lang, ...) with perplexity, threshold and kept; of their columns those in ``keep`` (None: all).
+
+    Texts are scored once; what is kept of the rows is written with the score.
+    """
     rest = docs.drop("perplexity", "threshold", "kept")
+    keep = rest.columns if keep is None else keep
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q > 0").select("doc_id")
     good = bounded(materialize(good, "kn-trusted"), BROADCAST_IDS)
     texts = rest.select("doc_id", "text").where(F.length("text") > 0).join(good, "doc_id", "left_semi").select("text")
+    texts, apart = trained_on(texts)
     ids = symbols(texts)
     model = train(texts, ids)
     rows = sum(p.count() + w.count() for p, w in model)
     if rows == 0:
         null = F.lit(None).cast("double")
-        return rest.withColumns({"perplexity": null, "threshold": null, "kept": F.coalesce(F.length("text") > 0, F.lit(False))})
-    scored = score_local(rest, local(model), ids) if rows <= max_broadcast else score_joined(rest, model, ids)
-    few = materialize(scored.select("doc_id", "lang", "perplexity"), "kn-scores").join(good, "doc_id", "left_semi")
+        told = rest.withColumns({"perplexity": null, "threshold": null, "kept": F.coalesce(F.length("text") > 0, F.lit(False))})
+        return told.select(*keep, "perplexity", "threshold", "kept")
+    doc, lang, out, t, n, whole, name = free(rest, "doc", "language", "out", "t", "n", "whole", "name")
+    seen = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0 if apart else F.lit(True)
+    ready = rest.withColumns({doc: F.col("doc_id"), lang: F.col("lang"), out: seen})
+    wide = list(dict.fromkeys([*keep, doc, lang, out]))
+    scored = score_local(ready, local(model), ids, wide) if rows <= max_broadcast else score_joined(ready, model, ids, wide)
+    scored = materialize(scored, "kn-scores")
+    few = scored.where(out).select(F.col(doc).alias("doc_id"), F.col(lang).alias(name), "perplexity").join(good, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", quantile, 10000)
-    by = few.groupBy("lang").agg((at * SLACK).alias("_t"), F.count("perplexity").alias("_n"))
-    by = by.where(F.col("_n") >= MIN_TRUSTED).select(F.col("lang").alias("_l"), "_t")
-    over = few.agg((at * SLACK).alias("_all"))
-    out = scored.join(F.broadcast(over)).join(by, F.col("lang").eqNullSafe(F.col("_l")), "left")
-    threshold = F.coalesce("_t", "_all")
+    by = few.groupBy(name).agg(at.alias(t), F.count("perplexity").alias(n)).where(F.col(n) >= MIN_TRUSTED).select(name, t)
+    over = few.agg(at.alias(whole))
+    # one row, and one row a language
+    told = scored.join(F.broadcast(over)).join(F.broadcast(by), F.col(lang).eqNullSafe(F.col(name)), "left")
+    threshold = F.coalesce(t, whole)
     kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(False))
-    return out.withColumns({"threshold": threshold, "kept": kept}).drop("_l", "_t", "_all")
+    return told.withColumns({"threshold": threshold, "kept": kept}).select(*keep, "perplexity", "threshold", "kept")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "perplexity", "threshold", "kept")
+    return classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
