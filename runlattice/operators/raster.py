@@ -158,24 +158,35 @@ def crop_and_binarize(pixels: DataFrame, label: str) -> DataFrame:
     return held.select("label", (F.col("y") - F.col("_y1")).alias("y"), (F.col("x") - F.col("_x1")).alias("x"), (F.col("_here") == F.col("label")).cast("int").alias("inside"))
 
 
-def nearest_center(pixels: DataFrame, points: DataFrame, y: Column, x: Column, cell: int = 64, rings: int = 2) -> DataFrame:
+#: Centres of a row of ``nearest_center``'s table of cells; cells with more have several rows.
+LISTED = 4096
+
+
+def nearest_center(pixels: DataFrame, points: DataFrame, y: Column, x: Column, cell: int = 8, rings: int = 2, listed: int = LISTED) -> DataFrame:
     """(pixels.*, center): the centre nearest to (y, x), ties to the lowest id; null without centres. ``points``: (center, cy, cx).
 
-    Centres enter the cells around their own, so a pixel meets those of its neighbourhood in one equality join.
-    What has none within ``rings`` cells, or may have a nearer one beyond, is asked again with cells eight times as
-    wide, until nothing is left or one cell holds all.
+    Centres are listed with the cells around their own, so a pixel meets those of its neighbourhood in one equality join
+    with lists, and no pair of a pixel and a centre is ever a row.  What has none within ``rings`` cells, or may have a
+    nearer one beyond, is asked again with cells four times as wide, until nothing is left or one cell holds all.  Equal
+    rows of ``pixels`` become one.
     """
     keys = [*pixels.columns, "_y", "_x"]
     ring = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)]
     moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ring])
-    dist = (F.col("cy") - F.col("_y")) ** 2 + (F.col("cx") - F.col("_x")) ** 2
-    best = F.min(F.struct(dist.alias("d"), "center"))
-    left, done = pixels.withColumns({"_y": y, "_x": x}), None
+    dist = lambda p: (p["cy"] - F.col("_y")) ** 2 + (p["cx"] - F.col("_x")) ** 2
+    left, done = pixels.withColumns({"_y": y, "_x": x}).distinct(), None
     while True:
         at = points.select("center", "cy", "cx", F.explode(moves).alias("_m"))
         at = at.select("center", "cy", "cx", (F.floor(F.col("cy") / cell) + F.col("_m.a")).alias("_a"), (F.floor(F.col("cx") / cell) + F.col("_m.b")).alias("_b"))
+        n = at.groupBy("_a", "_b").count().agg(F.max("count")).first()[0] or 0
+        parts = -(-n // listed)
+        at = at.groupBy("_a", "_b", F.pmod(F.xxhash64("center"), F.lit(max(1, parts))).alias("_p")).agg(F.collect_list(F.struct("center", "cy", "cx")).alias("_c"))
         asked = left.withColumns({"_a": F.floor(F.col("_y") / cell), "_b": F.floor(F.col("_x") / cell)})
-        near = materialize(asked.join(at, ["_a", "_b"], "left").groupBy(*keys).agg(best.alias("_n")), "nearest")
+        best = F.array_min(F.transform("_c", lambda p: F.struct(dist(p).alias("d"), p["center"].alias("center"))))
+        near = asked.join(at, ["_a", "_b"], "left").select(*keys, best.alias("_n"))
+        if parts > 1:
+            near = near.groupBy(*keys).agg(F.min("_n").alias("_n"))
+        near = materialize(near, "nearest")
         sure = F.col("_n.center").isNotNull() & (F.col("_n.d") <= float(rings * cell) ** 2)
         told = near.where(F.coalesce(sure, F.lit(False)))
         done = told if done is None else done.unionByName(told)
@@ -187,5 +198,5 @@ def nearest_center(pixels: DataFrame, points: DataFrame, y: Column, x: Column, c
         if top is None or rings * cell > 2 * 1.5 * max(far.m or 0, top, 1):  # no centres, or all were met
             done = done.unionByName(near.where(~F.coalesce(sure, F.lit(False))))
             break
-        cell *= 8
+        cell *= 4
     return done.select(*pixels.columns, F.col("_n.center").alias("center"))

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlattice.functions import storage
 from runlattice.operators import consensus, metrics, raster, tiles, workflows
 
 
@@ -76,3 +78,24 @@ def test_parts_of_an_instance_become_instances(spark):
     assert sorted(tuple(r) for r in got.collect()) == expected
     back = workflows.paint_runs(got, 4, 5).collect()
     assert {(r.y, r.x) for r in back if r.pan} == {(y, x) for y, x, v in rows if v} and len(back) == 20
+
+
+def test_nearest_centres_are_listed_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near, far = rng.integers(0, 60, (80, 2)).tolist(), [[900, 1000], [3000, 5]]
+    points = [(k, y, x) for k, (y, x) in enumerate(near + far)]
+    places = [(y, x) for y in range(0, 60, 4) for x in range(0, 60, 4)] + [(2500, 2500), (-700, 40), (950, 1010)]
+    expected = {p: min(((cy - p[0]) ** 2 + (cx - p[1]) ** 2, k) for k, cy, cx in points)[1] for p in places}
+    plans = []
+
+    def held(df, name, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.materialize(df, name, **more)
+
+    monkeypatch.setattr(raster, "materialize", held)
+    pixels = spark.createDataFrame(places, "y long, x long")
+    centres = spark.createDataFrame(points, "center long, cy long, cx long")
+    for listed in (4096, 3):  # in one list and in several
+        got = [((r.y, r.x), r.center) for r in raster.nearest_center(pixels, centres, F.col("y"), F.col("x"), listed=listed).collect()]
+        assert len(got) == len(places) and dict(got) == expected
+    assert "SortAggregate" not in plans[0]
