@@ -204,3 +204,67 @@ def test_filled_volumes_show_the_last_object_and_no_position_is_shuffled(spark):
     assert len(got) == len(expected) and dict(got) == expected
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(sequence(") < plan.index("Exchange")
+
+
+def _planes(seed: int, classes: int, depth: int) -> list[tuple]:
+    """Disjoint runs whose objects split, merge, come and go: (class_id, z, label, s, e)."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(classes):
+        for z in range(depth):
+            cuts = np.sort(rng.choice(np.arange(1, 400), 24, replace=False)).tolist()
+            labels = rng.choice(np.arange(3, 40), 14, replace=False).tolist()
+            rows += [(c, z, labels[rng.integers(0, 14)], int(s), int(e)) for s, e in zip(cuts[::2], cuts[1::2])]
+    return rows
+
+
+def _folded(rows: list[tuple]) -> list[tuple]:
+    """(class_id, z, label, track) by the plain rule, plane by plane, with overlaps of every two runs."""
+    from runlattice.operators.tracking import PlaneFold
+
+    out = []
+    for c in sorted({r[0] for r in rows}):
+        fold, last = PlaneFold(), []
+        for z in sorted({r[1] for r in rows if r[0] == c}):
+            plane = [r[2:] for r in rows if r[:2] == (c, z)]
+            sizes: dict = {}
+            for x, s, e in plane:
+                sizes[x] = sizes.get(x, 0) + e - s
+            edges = [(a, b, min(ea, eb) - max(sa, sb)) for a, sa, ea in last for b, sb, eb in plane if min(ea, eb) > max(sa, sb)]
+            out += [(c, z, x, t) for x, t in fold.step(z, sizes, edges).items()]
+            last = plane
+    return sorted(out)
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_a_stream_gives_the_names_of_the_plain_fold(spark, tmp_path, together):
+    """Several classes and planes, one file or three in a batch; also after a stop between two planes."""
+    from runlattice.streaming import planes as stream
+
+    rows = _planes(31, 3, 5)
+    path = f"file://{tmp_path}/stream"
+    for first, last in ((0, 3), (3, 5)):
+        for z in range(first, last):
+            spark.createDataFrame([r for r in rows if r[1] == z], stream.PLANE).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        run = stream.track_forward(stream.read_planes(spark, f"{path}/in", together), path, width=64).trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = sorted(tuple(r) for r in stream.tracked(spark, path).collect())
+    assert got == _folded(rows) and len({r[3] for r in got}) > 30
+
+
+def test_no_task_of_a_stream_holds_a_plane(spark, tmp_path, monkeypatch):
+    """Objects that meet one other only are named without Python, the others in buckets; a gap between planes fails."""
+    from runlattice.streaming import planes as stream
+
+    rows = _planes(37, 2, 3)
+    path = f"file://{tmp_path}/stream"
+    for z in (0, 1):
+        spark.createDataFrame([r for r in rows if r[1] == z], stream.PLANE).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    monkeypatch.setattr(stream, "TASK_EDGES", 4)
+    seen, old = [], stream._carried_on
+    monkeypatch.setattr(stream, "_carried_on", lambda *a: seen.append(1) or old(*a))
+    stream.track_forward(stream.read_planes(spark, f"{path}/in"), path, width=64).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [1] and sorted(tuple(r) for r in stream.tracked(spark, path).collect()) == _folded([r for r in rows if r[1] < 2])
+    spark.createDataFrame([(0, 5, 1, 0, 9)], stream.PLANE).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with pytest.raises(Exception, match="plane 5 after plane 1"):
+        stream.track_forward(stream.read_planes(spark, f"{path}/in"), path).trigger(availableNow=True).start().awaitTermination()
